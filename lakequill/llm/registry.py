@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakequill.llm import licenses, mixing, packing, quality_rules, secrets
+from lakequill.llm import licenses, mixing, packing, quality_rules, repeats, secrets, topk
 from lakequill.llm.common import table
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.op2(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op3(table(spark, sf_dir, "documents"))
 
@@ -26,16 +30,25 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op9(table(spark, sf_dir, "embeddings"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op10(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_repeated_passages": op2_repeated_passages,
     "op3_secret_scan": op3_secret_scan,
     "op4_source_mix": op4_source_mix,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_exact_topk": op9_exact_topk,
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_repeated_passages": repeats.SQL,
+    "op9_exact_topk": topk.SQL,
+}
