@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakequill.llm import licenses, mixing, packing, quality_rules, repeats, secrets, topk
+from lakequill.llm import jaccard, licenses, mixing, packing, quality_rules, repeats, secrets, topk
 from lakequill.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op5(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.op6(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_source_mix": op4_source_mix,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_quality_rules": op8_quality_rules,
     "op9_exact_topk": op9_exact_topk,
     "op10_license_scan": op10_license_scan,
@@ -50,5 +55,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_repeated_passages": repeats.SQL,
+    "op6_ngram_jaccard": jaccard.SQL,
     "op9_exact_topk": topk.SQL,
 }
