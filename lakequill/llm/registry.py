@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakequill.llm import jaccard, licenses, mixing, packing, quality_rules, repeats, secrets, topk
+from lakequill.llm import jaccard, licenses, mixing, packing, quality_model, quality_rules, repeats, secrets, topk, toxicity
 from lakequill.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.op2(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.op6(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,11 +51,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_repeated_passages": op2_repeated_passages,
     "op3_secret_scan": op3_secret_scan,
     "op4_source_mix": op4_source_mix,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_quality_model": op7_quality_model,
     "op8_quality_rules": op8_quality_rules,
     "op9_exact_topk": op9_exact_topk,
     "op10_license_scan": op10_license_scan,
