@@ -49,10 +49,8 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str, ranks: str | None):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(vocabulary)
-        self.slow.encode_special_tokens = True
+        self.vocabulary = vocabulary
+        self._slow = None
         self.fast = None
         if ranks:
             import base64
@@ -64,6 +62,16 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @property
+    def slow(self):
+        """Loaded when a text first needs it: both encoders at once are a worker's largest objects."""
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.vocabulary)
+            self._slow.encode_special_tokens = True
+        return self._slow
+
     def __call__(self, text: str) -> list[int]:
         if self.fast is not None and (text.isascii() or max(text) < "ɐ"):
             return self.fast.encode_ordinary(text)
