@@ -5,21 +5,21 @@ rare ones first: shingles whose hash lies in a fixed low part of the range are
 counted over all documents, and those held by at most `FREQUENT` sets are rare.
 Two similar sets share a shingle within the prefix that the threshold leaves
 free, so a set with enough rare shingles is indexed under single ones, and of
-those only the ones that some other set holds. A set with too few is also
-indexed under combinations: pairs of neighbours among the first of its other
-shingles. The extended prefix is long enough that, of the shared shingles in it,
-two must be neighbours in both sets, whatever the differing ones do; the number
-of keys stays in proportion to the set.
-
-Keys meet in two rounds. First, buckets verify copies among their own
-documents, and each key's remaining representatives are compared with one
-leader. Then, where the members of a key still lie in different components,
-members outside the key's largest component are compared with all members of
-other components. Pairs that are connected already are never expanded, so a
-group of copies costs about its size, and no link between components is lost.
+those only the ones that some other set holds; such a key has few members and
+its pairs are verified one by one.
+
+A set with too few rare shingles is also indexed under combinations: all its
+other shingles, dealt by hash into more parts than two similar sets have
+differing shingles. Then some parts are equal in both sets, and each part, a
+combination of several shingles, is a key. Large groups of copies meet here.
+Their keys are not expanded into pairs: buckets send one member for each key,
+members of a key are chained into clusters, and a cluster is cut into blocks.
+A pair of blocks is verified by one matrix product and yields a spanning
+forest of its links, so neither rows nor one task's memory grow with the square
+of a group. No cap is set anywhere.
 
 Shingles are 64-bit hashes of lower-cased (A-Z) words. The threshold must be at
-least 3/4, which the combination argument needs.
+least 3/4, so that a set has more shingles than it has parts.
 
 Defined cases: documents without words or text have no shingles and no links;
 with fewer words than `k`, the whole sequence is the one shingle; a null doc_id
@@ -39,10 +39,11 @@ from pyspark.sql import functions as F
 from lakequill.llm.common import materialize, parts_for
 from lakequill.llm.textscan import U64, chunks, mix, ngrams, pack, pack_sorted, unpack, unpack_sorted
 
-FREQUENT = 100
+FREQUENT = 16
 BUCKET_BYTES = 2 << 20
-#: Keys of so few representatives are compared in full at once.
-FEW = 8
+#: Sets in a block of a cluster, and token columns in a matrix product.
+BLOCK = 256
+COLUMNS = 8192
 _OUT = "kind int, at int, bucket int, keys binary, sids binary, sizes binary, text string"
 
 
@@ -70,6 +71,21 @@ class Likeness:
         """Hashes below this bound are counted: 2.5 prefixes' worth."""
         return min((1 << 64) - 1, (1 << 64) * 5 * (self.den - self.num) // (2 * self.den))
 
+    def bands(self, n: int) -> list[tuple[int, int]]:
+        """(band, parts to spare) of a set of n: similar sets have a band in common.
+
+        Bands grow by the ratio that the threshold allows. A band serves pairs whose smaller set is in
+        it, so a set is in its own band and in the one below. The second number is how many shingles
+        such a pair may not share.
+        """
+        edges, out = [1, 2], []
+        while edges[-1] <= n:
+            edges.append(edges[-1] * self.den // self.num + 1)
+        for i in (len(edges) - 2, len(edges) - 3):
+            if i >= 0:
+                out.append((i, self.apart(edges[i + 1] - 1)))
+        return out
+
     def linked(self, common: int, a: int, b: int) -> bool:
         return self.den * common >= self.num * (a + b - common)
 
@@ -112,22 +128,6 @@ def common_count(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True))
 
 
-class _Union:
-    """Disjoint sets over small numbers."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = self.up.get(y, y)
-            x = y
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        self.up[self.root(a)] = self.root(b)
-
-
 def _cuts(a: np.ndarray) -> np.ndarray:
     """Starts of runs of equal values, and the end."""
     if not len(a):
@@ -161,9 +161,43 @@ def _table(kind, cols: dict[str, list]) -> pa.Table:
     return pa.table([pa.array(cols.get(c, [kind] * n if c == "kind" else [None] * n), t) for c, t in kinds.items()], names=list(kinds))
 
 
-def _keys_of(s: _Sets, like: Likeness, known: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys and the number of the set that each belongs to."""
-    low, out_key, out_set = U64(like.low()), [], []
+def combinations(tokens: np.ndarray, like: Likeness, n: int) -> np.ndarray:
+    """Keys of the parts of a set of n shingles, of which `tokens` are not rare.
+
+    A round deals the tokens into d + e parts, where similar sets differ in at most d shingles: e
+    parts at least are equal. With fewer than e empty parts one of the equal ones has tokens. Until
+    that holds, further rounds deal anew; the round where it first holds for either set of a pair
+    was played by both.
+    """
+    out = []
+    for band, d in like.bands(n):
+        spare = 1 + d // 8
+        parts = d + spare
+        for turn in range(64):
+            salt = U64((band * 64 + turn) * 0x9E3779B97F4A7C15 % (1 << 64))
+            h = mix(tokens ^ salt)
+            part = (h % U64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = _cuts(part[order])[:-1]
+            sums = np.add.reduceat(mix(h[order] + U64(7)), cuts)
+            out.append(mix(sums ^ mix(part[order][cuts].astype(U64) ^ salt)))
+            if parts - len(cuts) < spare:
+                break
+        else:
+            out.append(np.array([band], U64))
+    return np.concatenate(out)
+
+
+def _keys_of(s: _Sets, like: Likeness, known: np.ndarray, level: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Single keys and combination keys, each with the number of the set that it belongs to."""
+    low = U64(like.low())
+    out: tuple[list, list] = ([np.empty(0, U64)], [np.empty(0, U64)])
+    owner: tuple[list, list] = ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
+
+    def put(kind: int, keys: np.ndarray, i: int) -> None:
+        out[kind].append(keys)
+        owner[kind].append(np.full(len(keys), i))
+
     for i, tokens in enumerate(s.sets):
         n = len(tokens)
         cut = int(np.searchsorted(tokens, low))
@@ -176,21 +210,17 @@ def _keys_of(s: _Sets, like: Likeness, known: np.ndarray, level: np.ndarray) ->
         rare = df < 255
         prefix = like.free(n) + 1
         order = np.argsort(df[rare], kind="stable")[:prefix]
-        held = near[rare][order][df[rare][order] > 0]
-        out_key.append(mix(held + U64(1)))
-        out_set.append(np.full(len(held), i))
-        if rare.sum() < prefix and n > 1:
-            rest = np.concatenate([near[~rare], tokens[cut:]])[: like.apart(n) + like.free(n) + 2]
-            pairs = mix(rest[:-1] * U64(0x9E3779B97F4A7C15) + mix(rest[1:]))
-            out_key.append(pairs)
-            out_set.append(np.full(len(pairs), i))
-    if not out_key:
-        return np.empty(0, U64), np.empty(0, np.int64)
-    return np.concatenate(out_key), np.concatenate(out_set)
+        held = df[rare][order] > 0
+        put(0, near[rare][order][held], i)
+        # a set of which all similar sets are equal needs no key: equal sets are one class
+        if rare.sum() < prefix and like.bands(n)[0][1]:
+            put(1, combinations(np.concatenate([near[~rare], tokens[cut:]]), like, n), i)
+    return tuple((np.concatenate(k), np.concatenate(o)) for k, o in zip(out, owner))
 
 
 def candidates_table(docs: DataFrame, like: Likeness) -> DataFrame:
-    """Written table of what buckets know: kind 0 representatives and 1 other members of keys, 2 verified links, 3 texts of indexed sets."""
+    """Written table of what buckets know: members of single keys (kind 0), one member of each combination key (1),
+    chains of members of such a key within the bucket (2), and the texts of indexed sets (3)."""
     n = parts_for(docs, BUCKET_BYTES)
     rows = docs.where("doc_id is not null").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("bucket"))
 
@@ -239,43 +269,29 @@ def candidates_table(docs: DataFrame, like: Likeness) -> DataFrame:
             level = np.concatenate([unpack(b, np.uint8) for b in back["sizes"].to_pylist()])
             order = np.argsort(known)
             known, level = known[order], level[order]
-        key, owner = _keys_of(s, like, known, level)
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])[: len(key)]
-        key, owner = key[fresh], owner[fresh]
-        group, links, tried, rep = _Union(), [], set(), np.ones(len(key), bool)
-        cuts = _cuts(key)
-        for a, b in zip(cuts[:-1][np.diff(cuts) > 1], cuts[1:][np.diff(cuts) > 1]):
-            heads: dict[int, int] = {}
-            for p in range(a, b):
-                i = int(owner[p])
-                for j in list(heads.values()):
-                    if group.root(i) != group.root(j) and (i, j) not in tried:
-                        tried.add((i, j))
-                        if like.sizes_fit(s.size[i], s.size[j]) and like.linked(common_count(s.sets[i], s.sets[j]), s.size[i], s.size[j]):
-                            links.append((i, j))
-                            group.join(i, j)
-                heads.setdefault(group.root(i), i)
-                heads = {group.root(j): j for j in heads.values()}
-                rep[p] = heads[group.root(i)] == i
-        out = []
-        bucket = table["bucket"][0].as_py()
-        for kind, pick in ((0, rep), (1, ~rep)):
-            k, o = key[pick], owner[pick]
-            cuts = _cuts(shard := _shard(k, n))
+        out, used, bucket = [], [], table["bucket"][0].as_py()
+        for kind, (key, owner) in enumerate(_keys_of(s, like, known, level)):
+            order = np.lexsort((owner, key))
+            key, owner = key[order], owner[order]
+            if kind:
+                # exact duplicates of a key and owner are chained to themselves, which does no harm
+                same = np.flatnonzero(key[1:] == key[:-1])
+                if len(same):
+                    out.append(_table(2, {"sids": [pack(s.sid[owner[same]])], "keys": [pack(s.sid[owner[same + 1]])]}))
+                used.append(owner)
+                first = _cuts(key)[:-1]
+                key, owner = key[first], owner[first]
+            used.append(owner)
+            cuts = _cuts(shard := _shard(key, n))
             cols = {
                 "at": [int(shard[a]) for a in cuts[:-1]],
                 "bucket": [bucket] * (len(cuts) - 1),
-                "keys": [pack_sorted(k[a:b]) for a, b in zip(cuts[:-1], cuts[1:])],
-                "sids": [pack(s.sid[o[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])],
-                "sizes": [pack(s.size[o[a:b]].astype(np.int32)) for a, b in zip(cuts[:-1], cuts[1:])],
+                "keys": [pack_sorted(key[a:b]) for a, b in zip(cuts[:-1], cuts[1:])],
+                "sids": [pack(s.sid[owner[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])],
+                "sizes": [pack(s.size[owner[a:b]].astype(np.int32)) for a, b in zip(cuts[:-1], cuts[1:])],
             }
             out.append(_table(kind, cols))
-        if links:
-            pairs = np.array(links)
-            out.append(_table(2, {"sids": [pack(s.sid[pairs[:, 0]])], "keys": [pack(s.sid[pairs[:, 1]])]}))
-        used = np.unique(owner)
+        used = np.unique(np.concatenate(used))
         out.append(_table(3, {"sids": [pack(s.sid[i : i + 1]) for i in used], "text": [s.texts[int(s.rows[i])].as_py() for i in used]}))
         return pa.concat_tables(out)
 
@@ -285,30 +301,30 @@ def candidates_table(docs: DataFrame, like: Likeness) -> DataFrame:
     return materialize(dealt.cogroup(levels.groupBy("bucket")).applyInArrow(index, _OUT))
 
 
+def _members(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a shard with their distinct members, sorted."""
+    key = np.concatenate([unpack_sorted(b) for b in table["keys"].to_pylist()])
+    sid = np.concatenate([unpack(b, np.int64) for b in table["sids"].to_pylist()])
+    size = np.concatenate([unpack(b, np.int32) for b in table["sizes"].to_pylist()])
+    order = np.lexsort((sid, key))
+    key, sid, size = key[order], sid[order], size[order]
+    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])])[: len(key)]
+    return key[fresh], sid[fresh], size[fresh]
+
+
 def _pairs_of(found: DataFrame, like: Likeness) -> DataFrame:
-    """Distinct (a, b) to verify in the first round: every pair of a small key, else leader and others."""
+    """Distinct (a, b) that share a single key; such a key has at most FREQUENT members."""
 
     def pairs(table: pa.Table) -> pa.Table:
-        key = np.concatenate([unpack_sorted(b) for b in table["keys"].to_pylist()])
-        sid = np.concatenate([unpack(b, np.int64) for b in table["sids"].to_pylist()])
-        size = np.concatenate([unpack(b, np.int32) for b in table["sizes"].to_pylist()])
-        order = np.lexsort((sid, key))
-        key, sid, size = key[order], sid[order], size[order]
-        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])])[: len(key)]
-        key, sid, size = key[fresh], sid[fresh], size[fresh]
+        key, sid, size = _members(table)
         cuts = _cuts(key)
         length = np.diff(cuts)
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for m in range(2, FEW + 1):
+        for m in np.unique(length[length > 1]):
             at = cuts[:-1][length == m]
             i, j = np.triu_indices(m, 1)
             left.append((at[:, None] + i).ravel())
             right.append((at[:, None] + j).ravel())
-        many = length > FEW
-        first = np.repeat(cuts[:-1][many], length[many])
-        other = np.flatnonzero(np.repeat(many, length))
-        left.append(first[first != other])
-        right.append(other[first != other])
         a, b = np.concatenate(left), np.concatenate(right)
         fit = like.sizes_fit(size[a], size[b])
         both = np.unique(np.column_stack([sid[a[fit]], sid[b[fit]]]), axis=0)
@@ -317,18 +333,95 @@ def _pairs_of(found: DataFrame, like: Likeness) -> DataFrame:
     return found.where("kind = 0").groupBy("at").applyInArrow(pairs, "a bigint, b bigint").distinct()
 
 
-def _verified(found: DataFrame, pairs: DataFrame, like: Likeness, parts: int) -> DataFrame:
-    """The pairs that link. A text travels once to each bucket of partners, not once per pair."""
-    def place(c):
-        return F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+def _chains(found: DataFrame) -> DataFrame:
+    """(a, b) that connect all members of each combination key."""
+
+    def shard(table: pa.Table) -> pa.Table:
+        key, sid, _ = _members(table)
+        same = np.flatnonzero(key[1:] == key[:-1])
+        both = np.unique(np.column_stack([sid[same], sid[same + 1]]), axis=0)
+        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+
+    def local(batches):
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                both = np.unique(np.column_stack([unpack(x, np.int64), unpack(y, np.int64)]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    across = found.where("kind = 1").groupBy("at").applyInArrow(shard, "a bigint, b bigint")
+    within = found.where("kind = 2").select("sids", "keys").mapInArrow(local, "a bigint, b bigint")
+    return across.unionByName(within).where("a <> b").distinct()
+
+
+def block_links(sets: list[np.ndarray], like: Likeness) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets (sorted arrays), from products of their incidence matrix."""
+    size = np.array([len(t) for t in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), size)
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    row, col = row[shared[col]], number[col[shared[col]]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(col, (at, at + COLUMNS))
+        m = np.zeros((len(sets), min(COLUMNS, int(shared.sum()) - at)), np.float32)
+        m[row[a:b], col[a:b] - at] = 1
+        common += m @ m.T
+    c = common.astype(np.int64)
+    i, j = np.nonzero(np.triu(like.den * c >= like.num * (size[:, None] + size[None, :] - c), 1))
+    root = list(range(len(sets)))
+    out = []
+    for x, y in zip(i.tolist(), j.tolist()):
+        a, b = x, y
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        while root[b] != b:
+            root[b] = root[root[b]]
+            b = root[b]
+        if a != b:
+            root[a] = b
+            out.append((x, y))
+    return out
+
+
+def _cluster_links(found: DataFrame, like: Likeness) -> DataFrame:
+    """Links within clusters of combination keys, a pair of blocks at a time."""
+    roots = materialize(components(_chains(found)))
+    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = roots.join(sizes, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    texts = _texts(found).join(placed, F.col("sid") == F.col("node"))
+    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    texts = texts.select("sid", "text", "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+
+    def verify(table: pa.Table) -> pa.Table:
+        sid, one = np.unique(table["sid"].to_numpy(), return_index=True)
+        key, ptr = shingle_sets(table["text"].combine_chunks().take(pa.array(one)), like.k)
+        links = block_links([key[a:b] for a, b in zip(ptr[:-1], ptr[1:])], like)
+        return pa.table([pa.array([int(sid[x[i]]) for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return texts.groupBy("root", "i", "j").applyInArrow(verify, "a bigint, b bigint")
+
+
+def _texts(found: DataFrame) -> DataFrame:
+    """(sid, text) of the indexed sets; a set of several buckets occurs several times."""
 
-    def sid_of(batches):
+    def run(batches):
         for b in batches:
             sids = [int(unpack(x, np.int64)[0]) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), b.column(1)], ["sid", "text"])
 
-    sets = found.where("kind = 3").select("sids", "text").mapInArrow(sid_of, "sid bigint, text string")
-    home = sets.withColumn("home", place("sid")).groupBy("home")
+    return found.where("kind = 3").select("sids", "text").mapInArrow(run, "sid bigint, text string")
+
+
+def _verified(found: DataFrame, pairs: DataFrame, like: Likeness, parts: int) -> DataFrame:
+    """The pairs that link. A text travels once to each bucket of partners, not once per pair."""
+    def place(c):
+        return F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+
+    home = _texts(found).withColumn("home", place("sid")).groupBy("home")
 
     def send(texts: pa.Table, want: pa.Table) -> pa.Table:
         at = {s: i for i, s in enumerate(texts["sid"].to_pylist())}
@@ -401,34 +494,6 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(roots, nodes["node"] == roots["a"], "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def _unpacked(found: DataFrame, kinds: str) -> DataFrame:
-    """Members of keys as rows."""
-
-    def run(batches):
-        for b in batches:
-            for k, s, z in zip(*(b.column(i).to_pylist() for i in range(3))):
-                yield pa.RecordBatch.from_arrays([pa.array(unpack_sorted(k).view(np.int64)), pa.array(unpack(s, np.int64)), pa.array(unpack(z, np.int32))], ["key", "sid", "size"])
-
-    return found.where(kinds).select("keys", "sids", "sizes").mapInArrow(run, "key bigint, sid bigint, size int")
-
-
-def _second_pairs(found: DataFrame, roots: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs across components, for keys whose members were not all compared in the first round."""
-    posts = _unpacked(found, "kind in (0, 1)").distinct()
-    posts = posts.join(roots, posts["sid"] == roots["node"], "left").select("key", "sid", "size", F.coalesce("root", "sid").alias("root"))
-    kept = found.where("kind = 1").limit(1).count()
-    parts = posts.groupBy("key", "root").agg(F.count("*").alias("n"))
-    wide = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("n"))
-    # keys of few members were compared in full, unless some were left to a representative
-    wide = wide.where("roots > 1" if kept else f"roots > 1 and n > {FEW}")
-    posts = posts.join(wide.select("key", "main"), "key")
-    odd = posts.where("root <> main").select("key", F.col("sid").alias("a"), F.col("size").alias("as"), F.col("root").alias("ar"))
-    near = (F.col("ar") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("sid")))
-    fit = like.den * F.least("as", "size") >= like.num * F.greatest("as", "size")
-    pairs = odd.join(posts, "key").where(near & fit)
-    return pairs.select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b")).distinct()
-
-
 def described(docs: DataFrame, like: Likeness) -> DataFrame:
     """doc_id, sid, n_shingles for each row; sid is null without shingles."""
 
@@ -448,22 +513,12 @@ def join(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     found = candidates_table(docs, like)
     parts = parts_for(docs, BUCKET_BYTES)
 
-    def local(batches):
-        for b in batches:
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(unpack(x, np.int64)), pa.array(unpack(y, np.int64))], ["a", "b"])
-
-    links = found.where("kind = 2").select("sids", "keys").mapInArrow(local, "a bigint, b bigint")
-    links = materialize(links.unionByName(_verified(found, _pairs_of(found, like), like, parts)))
     known = rows.where("doc_id is not null and sid is not null")
     # rows of one doc_id are one node
     same = known.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("doc_id", "a")
     same = same.join(known.select("doc_id", F.col("sid").alias("b")), "doc_id").select("a", "b")
+    links = _verified(found, _pairs_of(found, like), like, parts).unionByName(_cluster_links(found, like)).unionByName(same)
     roots = materialize(components(links))
-    second = materialize(_verified(found, _second_pairs(found, roots, like), like, parts))
-    more = second.unionByName(same)
-    if not more.isEmpty():
-        roots = materialize(components(links.unionByName(more)))
     classes = known.groupBy("sid").agg(F.min("doc_id").alias("first"))
     named = classes.join(roots, classes["sid"] == roots["node"], "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -65,10 +65,10 @@ def test_awkward_texts(spark):
     assert run(spark, texts, ids) == brute(list(zip(ids, texts)))
 
 
-@pytest.mark.parametrize("frequent", [2, 100])
+@pytest.mark.parametrize("frequent", [2, 16])
 def test_near_copies(spark, monkeypatch, frequent):
     monkeypatch.setattr(J, "FREQUENT", frequent)
-    monkeypatch.setattr(J, "FEW", 3)
+    monkeypatch.setattr(J, "BLOCK", 5)
     texts = near_copies(1, [8, 12, 20, 60, 200]) + near_copies(2, [9, 10, 11, 30], vocab=4, edits=(0, 1))
     texts += [texts[0]] * 40 + [texts[3].replace(" ", "\n")] * 3
     ids = list(range(len(texts)))
