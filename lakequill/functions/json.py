@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,15 @@ from lakequill.functions import json_codec as C
 EACH = "array<struct<key:string,value:string,type:string,atom:string,id:bigint,parent:bigint,fullkey:string,path:string>>"
 
 
+def _plain(x):
+    """A Python value of a pandas cell; arrays become lists."""
+    if isinstance(x, np.ndarray):
+        return [_plain(y) for y in x.tolist()]
+    if isinstance(x, (list, str, bytes, bytearray)):
+        return x
+    return None if pd.isna(x) else x.item() if hasattr(x, "item") else x
+
+
 def _apply(kind: str, fn: Callable, *cols: Column, strict_null: int = 1) -> Column:
     """fn over rows; null where one of the first `strict_null` arguments is."""
 
@@ -25,7 +35,7 @@ def _apply(kind: str, fn: Callable, *cols: Column, strict_null: int = 1) -> Colu
     def run(*series: pd.Series) -> pd.Series:
         out = []
         for row in zip(*series):
-            row = [None if not isinstance(x, (list, bytes, bytearray)) and pd.isna(x) else x.item() if hasattr(x, "item") else x for x in row]
+            row = [_plain(x) for x in row]
             out.append(None if any(x is None for x in row[:strict_null]) else fn(*row))
         return pd.Series(out, dtype=object)
 
@@ -210,7 +220,7 @@ def json_group_array(x: Column, order: list[Column] | None = None, is_json: bool
     items = F.array_sort(F.collect_list(F.struct(key.alias("k"), x.isNull().alias("n"), x.alias("v"))))
     values = F.transform(items, lambda i: F.when(i["n"], F.lit(None)).otherwise(i["v"]))
     pack = C.to_blob if blob else C.dump
-    return _apply("binary" if blob else "string", lambda v: pack([C.of_sql(y.item() if hasattr(y, "item") else y, is_json) for y in v]), F.transform(values, lambda v: v), strict_null=0)
+    return _apply("binary" if blob else "string", lambda v: pack([C.of_sql(y, is_json) for y in v]), F.transform(values, lambda v: v), strict_null=0)
 
 
 def json_group_object(key: Column, x: Column, order: list[Column] | None = None, is_json: bool = False, blob: bool = False) -> Column:
@@ -220,6 +230,6 @@ def json_group_object(key: Column, x: Column, order: list[Column] | None = None,
     pack = C.to_blob if blob else C.dump
 
     def one(keys, values):
-        return pack(C.Obj((C.quoted(k), C.of_sql(v.item() if hasattr(v, "item") else v, is_json)) for k, v in zip(keys, values)))
+        return pack(C.Obj((C.quoted(k), C.of_sql(v, is_json)) for k, v in zip(keys, values)))
 
     return _apply("binary" if blob else "string", one, F.transform(pairs, lambda p: p["k"]), F.transform(pairs, lambda p: p["v"]), strict_null=0)
