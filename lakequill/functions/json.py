@@ -214,22 +214,35 @@ def json_tree(doc: Column, root: str = "$") -> Column:
     return _rows(doc, root, True)
 
 
+def _typed(text: str | None, kind: str, is_json: bool):
+    """A JSON value from a Spark value's text and its type's name."""
+    if text is None:
+        return None
+    if is_json:
+        return C.parse(text)
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return C.Num(text)
+    if kind == "boolean":
+        return text == "true"
+    if kind in ("float", "double") or kind.startswith("decimal"):
+        return C.of_sql(float(text))
+    return C.quoted(text)
+
+
 def json_group_array(x: Column, order: list[Column] | None = None, is_json: bool = False, blob: bool = False) -> Column:
     """Aggregate: all values, nulls included, in the order of `order`."""
     key = F.struct(*order) if order else F.lit(0)
-    items = F.array_sort(F.collect_list(F.struct(key.alias("k"), x.isNull().alias("n"), x.alias("v"))))
-    values = F.transform(items, lambda i: F.when(i["n"], F.lit(None)).otherwise(i["v"]))
+    items = F.array_sort(F.collect_list(F.struct(key.alias("k"), x.cast("string").alias("v"))))
     pack = C.to_blob if blob else C.dump
-    return _apply("binary" if blob else "string", lambda v: pack([C.of_sql(y, is_json) for y in v]), F.transform(values, lambda v: v), strict_null=0)
+    one = lambda v, kind: pack([_typed(y, kind, is_json) for y in v])
+    return _apply("binary" if blob else "string", one, F.transform(items, lambda i: i["v"]), F.coalesce(F.max(F.typeof(x)), F.lit("string")))
 
 
 def json_group_object(key: Column, x: Column, order: list[Column] | None = None, is_json: bool = False, blob: bool = False) -> Column:
     """Aggregate: an object of all pairs with a key, repeated keys kept."""
     by = F.struct(*order) if order else F.lit(0)
-    pairs = F.filter(F.array_sort(F.collect_list(F.struct(by.alias("o"), key.alias("k"), x.alias("v")))), lambda p: p["k"].isNotNull())
+    items = F.array_sort(F.collect_list(F.struct(by.alias("o"), key.cast("string").alias("k"), x.cast("string").alias("v"))))
+    pairs = F.filter(items, lambda p: p["k"].isNotNull())
     pack = C.to_blob if blob else C.dump
-
-    def one(keys, values):
-        return pack(C.Obj((C.quoted(k), C.of_sql(v, is_json)) for k, v in zip(keys, values)))
-
-    return _apply("binary" if blob else "string", one, F.transform(pairs, lambda p: p["k"]), F.transform(pairs, lambda p: p["v"]), strict_null=0)
+    one = lambda k, v, kind: pack(C.Obj((C.quoted(a), _typed(b, kind, is_json)) for a, b in zip(k, v)))
+    return _apply("binary" if blob else "string", one, F.transform(pairs, lambda p: p["k"]), F.transform(pairs, lambda p: p["v"]), F.coalesce(F.max(F.typeof(x)), F.lit("string")))

@@ -31,7 +31,7 @@ sql_query(
     "agg_rows_range",
     "events",
     """SELECT event_id, round(sum(value) OVER w, 4) AS run, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS c,
-  round(avg(value) OVER (PARTITION BY event_type ORDER BY CAST(event_id AS DOUBLE) RANGE BETWEEN 50 PRECEDING AND 25 FOLLOWING), 4) AS band, min(value) OVER w AS lo, max(value) OVER w AS hi
+  round(sum(value) OVER (PARTITION BY event_type ORDER BY CAST(event_id AS DOUBLE) RANGE BETWEEN 50 PRECEDING AND 25 FOLLOWING), 2) AS band, min(value) OVER w AS lo, max(value) OVER w AS hi
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
 )
 sql_query("default_frame_peers", "orders", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_custkey) AS n FROM orders")
