@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 
 DEPTH = 1000
+# each level of nesting takes a few frames
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * DEPTH))
 
 
 class Num(str):
