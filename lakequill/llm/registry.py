@@ -65,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_repeated_passages": repeats.SQL,
+    "op3_secret_scan": secrets.SQL,
     "op6_ngram_jaccard": jaccard.SQL,
     "op9_exact_topk": topk.SQL,
 }

@@ -281,3 +281,32 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         kind = docs.schema["n_chars"].dataType
         rows = rows.withColumn("n_chars", F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return rows.select(*docs.columns)
+
+
+def _sql() -> str:
+    """The contract's columns in DuckDB SQL, from the same rules."""
+    parts = []
+    for i, r in enumerate(RULES):
+        rx = r.regex.replace("'", "''")
+        parts.append(
+            f"""SELECT doc_id, {i} AS ord, '{r.kind}' AS kind, {r.least} AS least,
+    regexp_split_to_array(t, '{rx}') AS p, regexp_extract_all(t, '{rx}') AS m, regexp_extract_all(t, '{rx}', {r.group}) AS g FROM d WHERE regexp_matches(t, '{rx}')"""
+        )
+    kinds = ", ".join(f"CAST(coalesce(count(*) FILTER (WHERE kind = '{r.kind}'), 0) AS BIGINT) AS n_{r.kind}" for r in BASE_RULES)
+    line = "coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord) {}, '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(parts)}),
+e AS (
+  SELECT doc_id, ord, kind, least, g[i] AS grp, m[i] AS hit, CAST(coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS a
+  FROM f, LATERAL (SELECT unnest(range(1, len(m) + 1)) AS i)),
+s AS (SELECT doc_id, ord, kind, a, a + length(hit) AS b FROM e WHERE length(grp) >= least),
+r AS (
+  SELECT doc_id, {kinds}, {line.format(f"FILTER (WHERE ord < {len(BASE_RULES)})")} AS base, {line.format("")} AS spans
+  FROM s GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+
+
+SQL = _sql()
