@@ -1,8 +1,11 @@
 """Rule statistics of whole texts and an isolation forest over them.
 
 The forest is fitted on a bounded sample of labelled rows (`SAMPLE_ROWS`); its
-verdict threshold is calibrated on all labelled rows. A row is anomalous where
-random splits isolate it after few steps.
+verdict threshold is calibrated on all labelled rows. It sees how far each
+statistic lies outside the range that good documents keep to, so that ordinary
+documents look alike and random splits isolate the others after few steps. Bad
+documents make up `BAD_SHARE` of what it grows on: anomalies must be rare there,
+however common they are in the corpus.
 
 Defined cases: null text counts as empty; an empty or very short text fails the
 base rule; every row gets one output row, repeated rows alike; without labelled
@@ -13,6 +16,7 @@ ignored by the statistics and kept by `filter_documents`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,13 +34,15 @@ SYMBOLS = separators("#*$%&|<>")
 SAMPLE_ROWS = 8192
 TREES = 100
 TREE_ROWS = 256
+#: Share of bad rows among those that the trees draw from.
+BAD_SHARE = 0.02
+#: Share of good rows that may lie beyond either end of a statistic's range.
+EDGE = 0.001
 #: Share of labelled good documents that the calibrated threshold may reject.
 GOOD_LOSS = 0.002
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-FEATURES = ["f_word_len", "f_symbols", "f_dup_lines", "f_repeats", "f_upper", "f_digits", "f_marks", "f_distinct"]
+FEATURES = ["f_word_len", "f_symbols", "f_dup_lines", "f_repeats", "f_upper", "f_distinct"]
 _UPPER = separators("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-_DIGIT = separators("0123456789")
-_MARKS = separators("!?;:=\"'()[]{}_~^`+/\\@")
 
 
 def _repeats(key: np.ndarray) -> np.ndarray:
@@ -111,13 +117,12 @@ def chunk_stats(c: Chunk) -> dict[str, np.ndarray]:
         "n_symbols": symbols,
         "n_dup_lines": n_dup,
         "n_repeat_words": n_repeat,
-        "f_word_len": np.log1p(word_chars / some),
+        # drawn towards five letters, and few repeats, where there is little text
+        "f_word_len": np.log1p((word_chars + 250) / (n + 50)),
         "f_symbols": np.log1p(10 * symbols / some),
-        "f_dup_lines": n_dup / np.maximum(n_lines, 1),
+        "f_dup_lines": n_dup / (n_lines + 5),
         "f_repeats": n_repeat / some,
         "f_upper": _sum_at(_UPPER[c.buf], c.offs) / chars,
-        "f_digits": _sum_at(_DIGIT[c.buf], c.offs) / chars,
-        "f_marks": np.log1p(10 * _sum_at(_MARKS[c.buf], c.offs) / some),
         # shorter texts repeat fewer words: compare with what the length allows
         "f_distinct": distinct / some**0.85,
     }
@@ -153,7 +158,10 @@ def rule_stats(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Forest:
-    """Trees as flat arrays of equal length; threshold: scores at or above it are anomalous."""
+    """Trees as flat arrays of equal length; threshold: scores at or above it are anomalous.
+
+    low and high: the range of each statistic; the trees see the distance from it, in widths of the range.
+    """
 
     feature: np.ndarray
     split: np.ndarray
@@ -162,9 +170,18 @@ class Forest:
     norm: float
     depth: int
     threshold: float = np.inf
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
+
+    def outside(self, x: np.ndarray) -> np.ndarray:
+        if self.low is None:
+            return x
+        width = np.maximum(self.high - self.low, 0.05)
+        return np.minimum(np.maximum(np.maximum(x - self.high, self.low - x), 0) / width, 1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """2 ** (-mean path length / expected path length), in (0, 1)."""
+        x = self.outside(x)
         if not len(x) or not len(self.feature):
             return np.zeros(len(x))
         total, rows = np.zeros(len(x)), np.arange(len(x))
@@ -232,8 +249,16 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, good_los
     marks = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = stats.join(marks, "doc_id").where(~base_failed())
     order = F.xxhash64("doc_id")
-    rows = known.select(*FEATURES, order.alias("o"), "doc_id").orderBy("o", "doc_id").limit(sample).toPandas()
-    forest = grow_forest(rows[FEATURES].to_numpy(np.float64))
+    rows = known.select(*FEATURES, "quality", order.alias("o"), "doc_id").orderBy("o", "doc_id").limit(sample).toPandas()
+    x, fine = rows[FEATURES].to_numpy(np.float64), rows["quality"].to_numpy() > 0
+    normal, odd = x[fine], x[~fine]
+    if not len(normal):
+        return grow_forest(normal)
+    odd = odd[: math.ceil(len(normal) * BAD_SHARE / (1 - BAD_SHARE))]
+    low, high = np.quantile(normal, EDGE, axis=0), np.quantile(normal, 1 - EDGE, axis=0)
+    frame = Forest(np.empty((0, 0)), *[np.empty(0)] * 3, 1.0, 1, low=low, high=high)
+    forest = grow_forest(frame.outside(np.concatenate([normal, odd])))
+    forest.low, forest.high = low, high
     bins = 2000
     table = (
         score_stats(known.select("doc_id", "quality", *FEATURES), forest)
@@ -248,9 +273,9 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, good_los
     allowed = lost <= good_loss * good.sum()
     if good.sum() and allowed.any():
         gain = np.where(allowed, caught / max(bad.sum(), 1) - lost / good.sum(), -1)
-        best = int(gain.argmax())
-        if gain[best] > 0:
-            forest.threshold = best / bins
+        if gain.max() > 0:
+            # the middle of the bins that do equally well
+            forest.threshold = float(np.median(np.flatnonzero(gain >= gain.max() - 1e-9))) / bins
     return forest
 
 

@@ -56,3 +56,14 @@ def test_no_labels_and_empty(spark):
     assert q.op8(empty(spark), labels).count() == 0
     out = q.op8(docs(spark), labels).where("kept = base_failed").count()
     assert out == 0
+
+
+def test_forest_catches_labelled_junk_and_keeps_good(spark):
+    from lakequill.llm.common import table
+
+    sf = "/root/testdata/sf0.1"
+    labels = table(spark, sf, "labels")
+    out = q.op8(table(spark, sf, "documents"), labels).join(labels, "doc_id").where("not base_failed")
+    n = {(r.good, r.kept): r["count"] for r in out.groupBy((labels.quality > 0).alias("good"), "kept").count().collect()}
+    assert n.get((False, False), 0) >= 0.9 * (n.get((False, False), 0) + n.get((False, True), 0))
+    assert n.get((True, False), 0) <= 0.005 * n[(True, True)]
