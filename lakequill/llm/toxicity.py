@@ -261,7 +261,7 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def _fit_logistic(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, steps: int = 400, decay: float = 3e-5) -> tuple[np.ndarray, float]:
+def _fit_logistic(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, steps: int = 700, decay: float = 5e-6) -> tuple[np.ndarray, float]:
     """Full-batch Adam on sparse 0/1 features."""
     w, bias = np.zeros(width), math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
@@ -303,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, sample:
     counts = known.mapInArrow(tally, "bucket bigint, clean bigint, toxic bigint").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     c, x = F.col("clean") + 0.5, F.col("toxic") + 0.5
     gain = F.abs(F.log(x / (t + 1)) - F.log(c / (n - t + 1))) * F.sqrt(F.col("toxic") + F.col("clean") * (t / n))
-    best = counts.where("clean + toxic >= 4").orderBy(F.desc(gain), "bucket").limit(FEATURES).select("bucket").toPandas()["bucket"].to_numpy()
+    best = counts.where("clean + toxic >= 6").orderBy(F.desc(gain), "bucket").limit(FEATURES).select("bucket").toPandas()["bucket"].to_numpy()
     column[best] = np.arange(len(best))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
