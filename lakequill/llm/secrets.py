@@ -77,7 +77,9 @@ def _of_string(s: str) -> Query:
 
 
 def _of_strings(strings: set[str]) -> Query:
-    return _any([_of_string(s) for s in sorted(strings)])
+    """Any of the strings; one that contains another adds nothing."""
+    least = [s for s in sorted(strings) if not any(o != s and o in s for o in strings)]
+    return _any([_of_string(s) for s in least])
 
 
 def _set_members(items) -> set[str] | None:
@@ -159,9 +161,10 @@ def _bit(n: int) -> tuple[int, int]:
 
 def postings(docs: DataFrame, terms: list[str]) -> DataFrame:
     """(doc_id, trigram number): the inverted index for the given trigrams."""
-    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    hits = F.array(*[F.when(low.contains(t), F.lit(i)) for i, t in enumerate(terms)])
-    return docs.select("doc_id", F.explode(F.array_compact(hits)).alias("term"))
+    # a column of its own: inside the tests below it would be lowered again for each trigram
+    low = docs.select("doc_id", F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("low"))
+    hits = F.array(*[F.when(F.col("low").contains(t), F.lit(i)) for i, t in enumerate(terms)])
+    return low.select("doc_id", F.explode(F.array_compact(hits)).alias("term"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
