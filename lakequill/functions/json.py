@@ -229,6 +229,20 @@ def _typed(text: str | None, kind: str, is_json: bool):
     return C.quoted(text)
 
 
+def jsonb_each(doc: Column, root: str = "$", deep: bool = False) -> Column:
+    """As json_each (json_tree with `deep`), containers also in binary form in the field `blob`."""
+
+    def one(d):
+        text = lambda v: None if v is None else v if isinstance(v, str) else str(v)
+        out = []
+        for r in C.walk(C.parse(d), root, deep, blob=True):
+            box = isinstance(r["value"], bytes)
+            out.append({**r, "key": text(r["key"]), "value": None if box else text(r["value"]), "blob": r["value"] if box else None, "atom": text(r["atom"])})
+        return out
+
+    return _apply(EACH.replace("path:string>>", "path:string,blob:binary>>"), one, doc)
+
+
 def json_group_array(x: Column, order: list[Column] | None = None, is_json: bool = False, blob: bool = False) -> Column:
     """Aggregate: all values, nulls included, in the order of `order`."""
     key = F.struct(*order) if order else F.lit(0)

@@ -1,3 +1,3 @@
 """All named queries, by family."""
 
-from lakequill.plans.catalogue import basics, dates_json, functions, grouping, joins, subqueries, windows  # noqa: F401
+from lakequill.plans.catalogue import basics, dates_json, functions, grouping, joins, sqltext, subqueries, windows  # noqa: F401

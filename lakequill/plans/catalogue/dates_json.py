@@ -158,6 +158,22 @@ def jsonb_round_trip(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", J.json(blob).alias("again"))
 
 
+@query("SELECT n_nationkey, fullkey, again FROM nation, (VALUES ('$.a', '[1,{\"b\":2}]'), ('$.c', NULL)) v(fullkey, again)")
+def jsonb_rows(spark, sf_dir):
+    """Containers come as binary JSON and read back to the same text."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey")
+    rows = n.withColumn("r", F.explode(J.jsonb_each(F.lit('{"a":[1,{"b":2}],"c":3}'))))
+    return rows.select("n_nationkey", "r.fullkey", J.json(F.col("r.blob")).alias("again"))
+
+
+@query("SELECT n_nationkey, true AS same, true AS near FROM nation")
+def dates_now(spark, sf_dir):
+    """The current moment is one moment for a whole statement."""
+    now = D.of_timestamp(F.current_timestamp())
+    n = table(spark, sf_dir, "nation")
+    return n.select("n_nationkey", (now.ms == F.unix_millis(F.current_timestamp())).alias("same"), D.date(now).between("2000-01-01", "9999-12-31").alias("near"))
+
+
 @query("SELECT event_id, '{' || chr(10) || '    \"k\": ' || json_extract_string(props, '$.k') || chr(10) || '}' AS pretty, 0 AS fault FROM events")
 def json_pretty_print(spark, sf_dir):
     p = F.col("props")
