@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def total(x: Column) -> Column:
@@ -22,17 +23,21 @@ def group_concat(x: Column, separator: str = ",", order: list[Column] | None = N
 def with_extreme(df: DataFrame, keys: list[str], extreme: str, bare: list[str], largest: bool = True, ties: list[str] | None = None) -> DataFrame:
     """GROUP BY keys with max (or min) of a column and, beside it, columns of the row that has it.
 
-    Of rows that tie, the one with the smallest `ties` (default: the bare columns) counts. One
-    aggregation, no window: partial results combine before the shuffle.
+    Of rows that tie, the one with the smallest `ties` (default: the bare columns) counts. For
+    numbers, or for min, this is one aggregation whose partial results combine before the shuffle;
+    the largest value of another type is joined back, since its order cannot be turned round.
     """
     known = df.where(F.col(extreme).isNotNull())
-    best = F.max if largest else F.min
-    top = known.groupBy(*keys).agg(best(extreme).alias(extreme))
-    row = F.struct(*[F.col(c) for c in ties or bare], *[F.col(c).alias(f"b_{c}") for c in bare])
-    # the order by (extreme, ties) as one struct works for any type when the extreme is joined back
-    found = known.join(top.withColumnRenamed(extreme, "_top"), keys).where(F.col(extreme) == F.col("_top"))
-    rows = found.groupBy(*keys).agg(F.first("_top").alias(extreme), F.min(row).alias("_row"))
-    return rows.select(*keys, extreme, *[F.col(f"_row.b_{c}").alias(c) for c in bare])
+    row = F.struct(F.col(extreme).alias("x"), *[F.col(c).alias(f"b_{c}") for c in bare])
+    tie = [F.col(c).alias(f"t{i}") for i, c in enumerate(ties or bare)]
+    if not largest or isinstance(df.schema[extreme].dataType, T.NumericType):
+        rank = -F.col(extreme) if largest else F.col(extreme)
+        rows = known.groupBy(*keys).agg(F.min_by(row, F.struct(rank.alias("r"), *tie)).alias("_row"))
+    else:
+        top = known.groupBy(*keys).agg(F.max(extreme).alias("_top"))
+        found = known.join(top, keys).where(F.col(extreme) == F.col("_top"))
+        rows = found.groupBy(*keys).agg(F.min_by(row, F.struct(*tie)).alias("_row"))
+    return rows.select(*keys, F.col("_row.x").alias(extreme), *[F.col(f"_row.b_{c}").alias(c) for c in bare])
 
 
 def bare_of_max(x: Column, by: Column) -> Column:

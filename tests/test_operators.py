@@ -30,6 +30,7 @@ def test_aggregates(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("a", 3, "w"), ("b", None, "z")], "g string, v int, t string")
     assert rows(A.with_extreme(df, ["g"], "v", ["t"])) == [("a", 3, "w")]
     assert rows(A.with_extreme(df, ["g"], "v", ["t"], largest=False)) == [("a", 1, "x")]
+    assert rows(A.with_extreme(df, ["g"], "t", ["v"])) == [("a", "y", 3), ("b", "z", None)]
     assert df.where("false").agg(A.total(F.col("v"))).first()[0] == 0.0
     assert rows(df.groupBy("g").agg(A.group_concat(F.col("v"), "-", [-F.col("v")]))) == [("a", "3-3-1"), ("b", None)]
 
