@@ -14,9 +14,12 @@ differing shingles. Then some parts are equal in both sets, and each part, a
 combination of several shingles, is a key. Large groups of copies meet here.
 Their keys are not expanded into pairs: buckets send one member for each key,
 members of a key are chained into clusters, and a cluster is cut into blocks.
-A pair of blocks is verified by one matrix product and yields a spanning
-forest of its links, so neither rows nor one task's memory grow with the square
-of a group. No cap is set anywhere.
+A block is verified by one matrix product and yields a spanning forest of its
+links; one set stands for each component found, and these meet in blocks again
+while their number halves. Where a cluster is not one component by then, the
+sets outside its largest component meet all others, a pair of blocks at a time.
+A group of true copies thus costs about its size, and neither rows nor one
+task's memory grow with the square of a group. No cap is set anywhere.
 
 Shingles are 64-bit hashes of lower-cased (A-Z) words. The threshold must be at
 least 3/4, so that a set has more shingles than it has parts.
@@ -387,14 +390,8 @@ def block_links(sets: list[np.ndarray], like: Likeness) -> list[tuple[int, int]]
     return out
 
 
-def _cluster_links(found: DataFrame, like: Likeness) -> DataFrame:
-    """Links within clusters of combination keys, a pair of blocks at a time."""
-    roots = materialize(components(_chains(found)))
-    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = roots.join(sizes, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = _texts(found).join(placed, F.col("sid") == F.col("node"))
-    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    texts = texts.select("sid", "text", "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+def _block_links(found: DataFrame, placed: DataFrame, like: Likeness) -> DataFrame:
+    """Links among the sets of each (root, i, j) of `placed` (node, root, i, j)."""
 
     def verify(table: pa.Table) -> pa.Table:
         sid, one = np.unique(table["sid"].to_numpy(), return_index=True)
@@ -402,9 +399,54 @@ def _cluster_links(found: DataFrame, like: Likeness) -> DataFrame:
         links = block_links([key[a:b] for a, b in zip(ptr[:-1], ptr[1:])], like)
         return pa.table([pa.array([int(sid[x[i]]) for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
+    texts = _texts(found).join(placed, F.col("sid") == F.col("node")).select("sid", "text", "root", "i", "j")
     return texts.groupBy("root", "i", "j").applyInArrow(verify, "a bigint, b bigint")
 
 
+def _cluster_links(found: DataFrame, like: Likeness) -> DataFrame:
+    """Links that connect all linked sets within clusters of combination keys."""
+
+    def blocked(nodes: DataFrame, name: str, salt: int) -> DataFrame:
+        """nodes with the number of their block within the cluster, and how many there are (name, n_name)."""
+        n = nodes.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"n_{name}"))
+        return nodes.join(n, "root").withColumn(name, F.pmod(F.xxhash64("node", F.lit(salt)), F.col(f"n_{name}")).cast("int"))
+
+    clusters = materialize(components(_chains(found)))
+    standing, links, level = clusters, None, 0
+    while True:
+        placed = blocked(standing, "i", level).select("node", "root", "i", F.lit(0).alias("j"), "n_i")
+        fresh = materialize(_block_links(found, placed, like))
+        links = fresh if links is None else links.unionByName(fresh)
+        # clusters of one block are finished
+        wide = materialize(placed.where("n_i > 1").select("node", "root"))
+        before = wide.count()
+        if not before:
+            break
+        joined = components(fresh).withColumnRenamed("root", "head")
+        heads = wide.join(joined, "node", "left").select("root", F.coalesce("head", "node").alias("node")).distinct()
+        standing = materialize(heads.select("node", "root"))
+        level += 1
+        if standing.count() * 2 > before:
+            break
+    if not before:
+        return links
+    # sets outside the largest component of a cluster against all sets of the cluster
+    open_ = clusters.join(standing.select("root").distinct(), "root", "left_semi")
+    parts = materialize(components(links)).withColumnRenamed("root", "head")
+    named = materialize(open_.join(parts, "node", "left").select("node", "root", F.coalesce("head", "node").alias("head")))
+    main = named.groupBy("root", "head").count().groupBy("root").agg(F.max_by("head", F.struct("count", "head")).alias("main"))
+    named = named.join(main, "root")
+    every = blocked(named.select("node", "root"), "i", 0)
+    odd = blocked(named.where("head <> main").select("node", "root"), "j", 0)
+    n_i = every.select("root", "n_i").distinct()
+    n_j = odd.select("root", "n_j").distinct()
+    left = every.join(n_j, "root").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_j") - 1)))
+    right = odd.join(n_i, "root").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)))
+    names = ["node", "root", "i", "j"]
+    placed = left.select(*names).unionByName(right.select(*names)).distinct()
+    return links.unionByName(_block_links(found, placed, like))
+
+
 def _texts(found: DataFrame) -> DataFrame:
     """(sid, text) of the indexed sets; a set of several buckets occurs several times."""
 
