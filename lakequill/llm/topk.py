@@ -60,26 +60,24 @@ def quantized(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Pack consecutive rows of each partition: dim, block, n, rids, ids, vecs. Partitions are already ordered."""
+    """Pack consecutive rows of each partition: dim, part (the partition), rids, ids, vecs. Partitions are already ordered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        part = TaskContext.get().partitionId()
         held: dict[int, list] = {}
 
         def out(dim: int) -> pa.RecordBatch:
-            nonlocal seq
             rids, ids, vecs = zip(*held.pop(dim))
-            seq += 1
             cols = [
                 pa.array([dim], pa.int32()),
-                pa.array([(part << 32) | seq], pa.int64()),
+                pa.array([part], pa.int32()),
                 pa.array([np.array(rids, np.int64).tobytes()], pa.binary()),
                 pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
                 pa.array([b"".join(vecs)], pa.binary()),
             ]
-            return pa.RecordBatch.from_arrays(cols, ["dim", "block", "rids", "ids", "vecs"])
+            return pa.RecordBatch.from_arrays(cols, ["dim", "part", "rids", "ids", "vecs"])
 
         for b in batches:
             for rid, i, dim, vec in zip(*(b.column(c).to_pylist() for c in range(4))):
@@ -90,7 +88,7 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
         for dim in list(held):
             yield out(dim)
 
-    return rows.select("rid", "vec_id", "dim", "vec").mapInArrow(run, "dim int, block bigint, rids binary, ids binary, vecs binary")
+    return rows.select("rid", "vec_id", "dim", "vec").mapInArrow(run, "dim int, part int, rids binary, ids binary, vecs binary")
 
 
 def _open(dim: int, rids: bytes, ids: bytes, vecs: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,6 +198,8 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
             dim = row["dim"]
             rotation, lead = spins[dim]
             for asking in right.to_pylist():
+                if asking["dim"] != dim:
+                    continue
                 queries = _open(dim, asking["rids"], asking["ids"], asking["vecs"])
                 best = search_block(queries, _open(dim, row["rids"], row["ids"], row["vecs"]), heads[dim], rotation, lead, k)
                 i, j = np.nonzero(best.rid >= 0)
@@ -208,22 +208,16 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         names = ["q_rid", "query_id", "vec_id", "score", "rid"]
         return pa.table({n: pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for n, c in zip(names, cols)})
 
-    # each block of candidates meets each block of queries of its dimension in a task of its own;
-    # the lists hold block numbers only, one for thousands of rows
-    numbers = {d: ([], []) for d in sizes}
-    for i, part in enumerate((blocks, asked)):
-        for r in part.select("dim", "block").collect():
-            numbers[r["dim"]][i].append(r["block"])
-
-    def spread(rows: DataFrame, i: int) -> DataFrame:
-        lists = F.create_map(*[x for d, n in numbers.items() for x in (F.lit(d), F.array(*[F.lit(v) for v in n[1 - i]]).cast("array<bigint>"))])
-        other = F.explode(lists[F.col("dim")])
-        keys = ("q_block", "block") if i else ("block", "q_block")
-        return rows.select("dim", F.col("block").alias(keys[0]), other.alias(keys[1]), "rids", "ids", "vecs")
-
     if not n_q:
         return ints.where("false").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("bigint").alias("score"))
-    left, right = (spread(x, i).groupBy("block", "q_block") for i, x in enumerate((blocks, asked)))
+
+    # each part of the candidates meets each part of the queries in a group of its own
+    def spread(rows: DataFrame, mine: str, other: str, others: DataFrame) -> DataFrame:
+        n = others.agg(F.max("part")).first()[0] + 1
+        return rows.withColumnRenamed("part", mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+    left = spread(blocks, "a", "b", asked).groupBy("a", "b")
+    right = spread(asked, "b", "a", blocks).groupBy("a", "b")
     found = left.cogroup(right).applyInArrow(run, "q_rid bigint, query_id bigint, vec_id bigint, score bigint, rid bigint")
     order = Window.partitionBy("q_rid").orderBy(F.desc("score"), "vec_id", "rid")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
