@@ -36,7 +36,7 @@ from lakequill.llm.textscan import chunks, mix
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 FAN_IN = 64
 
 
