@@ -138,21 +138,32 @@ def _gradients(p: dict, f: dict, each: np.ndarray, y: np.ndarray, decay: float)
     return {k: v + decay * p[k] * (k not in "bd") for k, v in g.items()}
 
 
-def train(x: np.ndarray, each: np.ndarray, y: np.ndarray, hidden: int = 16, gate: int = 8, steps: int = 300, decay: float = 1e-4, seed: int = 5) -> Model:
-    """Adam on all bags at once; y holds 0 or 1 for each bag."""
+def train(x: np.ndarray, each: np.ndarray, y: np.ndarray, hidden: int = 16, gate: int = 8, steps: int = 300, epochs: int = 15, batch: int = 256, decay: float = 1e-4, seed: int = 5) -> Model:
+    """Adam over batches of bags, `epochs` times through and `steps` steps at least; y holds 0 or 1 for each bag."""
     rng = np.random.default_rng(seed)
     start = {"w": (x.shape[1], hidden), "v": (hidden, gate), "u": (hidden, gate)}
     p = {k: rng.normal(0, 1 / math.sqrt(s[0]), s) for k, s in start.items()}
     p |= {"b": np.zeros(hidden), "a": rng.normal(0, 0.3, gate), "c": rng.normal(0, 0.3, hidden), "d": np.zeros(())}
     model = Model(x.mean(0), x.std(0) + 1e-3, p)
+    # bags in random order, so that consecutive ones make a batch
+    order = rng.permutation(len(each))
+    first = np.cumsum(each) - each
+    x = x[np.concatenate([np.arange(first[i], first[i] + each[i]) for i in order])]
+    each, y = each[order], y[order]
+    ends = np.concatenate([[0], np.cumsum(each)])
+    cuts = list(range(0, len(each), batch))
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v2 = {k: np.zeros_like(v) for k, v in p.items()}
-    for t in range(1, steps + 1):
-        g = _gradients(p, model.forward(x, each), each, y, decay)
+    total = max(steps, epochs * len(cuts))
+    for t in range(1, total + 1):
+        i = cuts[(t - 1) % len(cuts)]
+        j = min(i + batch, len(each))
+        g = _gradients(p, model.forward(x[ends[i] : ends[j]], each[i:j]), each[i:j], y[i:j], decay)
+        rate = 0.03 * (1 - 0.9 * t / total)
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             v2[k] = 0.99 * v2[k] + 0.01 * g[k] ** 2
-            p[k] = p[k] - 0.03 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v2[k] / (1 - 0.99**t)) + 1e-9)
+            p[k] = p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v2[k] / (1 - 0.99**t)) + 1e-9)
     return model
 
 
