@@ -187,11 +187,11 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     names = docs.columns
     decided = mix_sources(docs, **how).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "source", "copies")
     nth = Window.partitionBy("_id", "_source", "_size")
-    decided = decided.select("_id", F.coalesce("source", F.lit("\0")).alias("_source"), "_size", "copies")
+    decided = decided.withColumnRenamed("source", "_source")
     decided = decided.withColumn("_nth", F.row_number().over(nth.orderBy("copies")))
-    rows = _with_size(docs).withColumns({"_id": F.col("doc_id"), "_source": F.coalesce("source", F.lit("\0"))})
+    rows = _with_size(docs).withColumns({"_id": F.col("doc_id"), "_source": F.col("source")})
     rows = rows.withColumn("_nth", F.row_number().over(nth.orderBy("text")))
-    same = (rows["_id"].eqNullSafe(decided["_id"])) & (rows["_size"] == decided["_size"]) & (rows["_source"] == decided["_source"]) & (rows["_nth"] == decided["_nth"])
+    same = (rows["_id"].eqNullSafe(decided["_id"])) & (rows["_size"] == decided["_size"]) & rows["_source"].eqNullSafe(decided["_source"]) & (rows["_nth"] == decided["_nth"])
     taken = rows.join(decided.where("copies > 0"), same)
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
 
