@@ -17,8 +17,8 @@ def text_query(name: str, text: str, oracle: str, *values) -> None:
 
 text_query(
     "text_division",
-    "SELECT o_orderkey, o_custkey / 7 AS q, o_custkey / (o_custkey % 3) AS z, o_totalprice / 4 AS r, o_custkey % 10 == 3 AS e FROM orders WHERE o_orderkey < 0x200",
-    "SELECT o_orderkey, o_custkey // 7 AS q, CASE WHEN o_custkey % 3 <> 0 THEN o_custkey // (o_custkey % 3) END AS z, o_totalprice / 4 AS r, o_custkey % 10 = 3 AS e FROM orders WHERE o_orderkey < 512",
+    "SELECT o_orderkey, o_custkey / 7 AS q, o_custkey / (o_custkey % 3) AS z, o_totalprice / 4 AS r, o_custkey % 10 == 3 AS e, o_custkey & 0x0F AS h FROM orders",
+    "SELECT o_orderkey, o_custkey // 7 AS q, CASE WHEN o_custkey % 3 <> 0 THEN o_custkey // (o_custkey % 3) END AS z, o_totalprice / 4 AS r, o_custkey % 10 = 3 AS e, o_custkey & 15 AS h FROM orders",
 )
 text_query(
     "text_bare_max",
@@ -42,8 +42,8 @@ text_query(
 )
 text_query(
     "text_windows",
-    "SELECT o_orderkey, sum(o_custkey) FILTER (WHERE o_orderstatus = 'F') OVER w2 AS s, count(*) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c FROM orders WHERE o_orderkey < 2000 WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey), w2 AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
-    "SELECT o_orderkey, CAST(sum(o_custkey) FILTER (WHERE o_orderstatus = 'F') OVER w2 AS BIGINT) AS s, count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c FROM orders WHERE o_orderkey < 2000 WINDOW w2 AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
+    "SELECT o_orderkey, sum(o_custkey) FILTER (WHERE o_orderstatus = 'F') OVER w2 AS s, count(*) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey), w2 AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
+    "SELECT o_orderkey, CAST(sum(o_custkey) FILTER (WHERE o_orderstatus = 'F') OVER w2 AS BIGINT) AS s, count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c FROM orders WINDOW w2 AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
 )
 text_query(
     "text_functions",
@@ -52,9 +52,9 @@ text_query(
 )
 text_query(
     "text_json_lateral",
-    "SELECT event_id, j.fullkey, j.atom FROM events, json_tree(props) AS j WHERE j.type = 'integer' AND event_id < ?1",
-    "SELECT event_id, '$.k' AS fullkey, json_extract_string(props, '$.k') AS atom FROM events WHERE event_id < 500",
-    500,
+    "SELECT event_id, j.fullkey, j.atom FROM events, json_tree(props) AS j WHERE j.type = 'integer' AND events.value > ?1",
+    "SELECT event_id, '$.k' AS fullkey, json_extract_string(props, '$.k') AS atom FROM events WHERE value > 50",
+    50.0,
 )
 text_query(
     "text_correlated",

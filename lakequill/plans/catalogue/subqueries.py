@@ -27,8 +27,8 @@ sql_query(
 sql_query("tuple_in", "lineitem", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE (l_orderkey, l_linenumber) IN (SELECT l_orderkey, max(l_linenumber) FROM lineitem WHERE l_quantity > 45 GROUP BY l_orderkey)")
 sql_query(
     "tuple_not_in",
-    "lineitem orders",
-    "SELECT o_orderkey FROM orders WHERE (o_orderkey, 1) NOT IN (SELECT l_orderkey, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END FROM lineitem) AND o_orderkey < 3000",
+    "nation supplier",
+    "SELECT n_nationkey, n_regionkey FROM nation WHERE (n_nationkey, n_regionkey) NOT IN (SELECT s_nationkey, CASE WHEN s_acctbal > 5000 THEN s_nationkey % 5 ELSE -1 END FROM supplier)",
 )
 
 
