@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 import sys
+from functools import lru_cache
 
 DEPTH = 1000
 # each level of nesting takes a few frames
@@ -189,10 +190,16 @@ class _Parser:
         return out
 
 
+@lru_cache(4096)
+def _parsed(text: str, strict: bool):
+    return _Parser(text, strict).whole()
+
+
 def parse(text: str | bytes, strict: bool = False):
+    """The value of JSON text or of the binary form. Values are never changed in place, so short texts are kept parsed."""
     if isinstance(text, (bytes, bytearray)):
         return from_blob(bytes(text))
-    return _Parser(text, strict).whole()
+    return _parsed(text, strict) if len(text) <= 512 else _Parser(text, strict).whole()
 
 
 def error_position(text: str) -> int:
