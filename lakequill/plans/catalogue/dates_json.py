@@ -91,7 +91,7 @@ def timediff_orders(spark, sf_dir):
 
 
 @query(
-    """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') AS is_int, json_valid(props) AS ok, json_array_length('[1,[2],3]') AS n,
+    """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') AS is_int, json_valid(props) AS ok, CAST(json_array_length('[1,[2],3]') AS BIGINT) AS n,
   '[' || json_extract_string(props, '$.k') || ',null]' AS two, replace(props, ' ', '') AS mini FROM events"""
 )
 def json_scalars(spark, sf_dir):

@@ -33,7 +33,7 @@ text_query(
 text_query(
     "text_recursive_union",
     "WITH RECURSIVE t(k) AS (SELECT 3 UNION SELECT (k * 7 + n_nationkey) % 25 FROM t JOIN nation ON n_regionkey = k % 5) SELECT k, n_name FROM t LEFT JOIN nation ON n_nationkey = k",
-    "WITH RECURSIVE t(k) AS (SELECT 3 UNION SELECT (k * 7 + n_nationkey) % 25 FROM t JOIN nation ON n_regionkey = k % 5) SELECT k, n_name FROM t LEFT JOIN nation ON n_nationkey = k",
+    "WITH RECURSIVE t(k) AS (SELECT 3 UNION SELECT (k * 7 + n_nationkey) % 25 FROM t JOIN nation ON n_regionkey = k % 5) SELECT CAST(k AS BIGINT) AS k, n_name FROM t LEFT JOIN nation ON n_nationkey = k",
 )
 text_query(
     "text_left_associative",

@@ -76,7 +76,7 @@ sql_query(
     "rec_two",
     "region",
     """WITH RECURSIVE a(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM a WHERE n < 6), b(m) AS (SELECT 10 UNION ALL SELECT m - 2 FROM b WHERE m > 2)
-SELECT n, m, row_number() OVER (ORDER BY n, m) AS rn FROM a LEFT JOIN b ON n = m""",
+SELECT n, m, CAST(row_number() OVER (ORDER BY n, m) AS INT) AS rn FROM a LEFT JOIN b ON n = m""",
 )
 
 
