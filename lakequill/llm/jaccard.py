@@ -16,8 +16,9 @@ Their keys are not expanded into pairs: buckets send one member for each key,
 members of a key are chained into clusters, and a cluster is cut into blocks.
 A block is verified by one matrix product and yields a spanning forest of its
 links; one set stands for each component found, and these meet in blocks again
-while their number halves. Where a cluster is not one component by then, the
-sets outside its largest component meet all others, a pair of blocks at a time.
+while their number halves. Where a cluster of several blocks is not one component
+by then, the sets outside its largest component meet all others, a pair of blocks
+at a time: a set that stands for others need not have their links.
 A group of true copies thus costs about its size, and neither rows nor one
 task's memory grow with the square of a group. No cap is set anywhere.
 
@@ -412,13 +413,14 @@ def _cluster_links(found: DataFrame, like: Likeness) -> DataFrame:
         return nodes.join(n, "root").withColumn(name, F.pmod(F.xxhash64("node", F.lit(salt)), F.col(f"n_{name}")).cast("int"))
 
     clusters = materialize(components(_chains(found)))
-    standing, links, level = clusters, None, 0
+    standing, links, open_, level = clusters, None, None, 0
     while True:
         placed = blocked(standing, "i", level).select("node", "root", "i", F.lit(0).alias("j"), "n_i")
         fresh = materialize(_block_links(found, placed, like))
         links = fresh if links is None else links.unionByName(fresh)
-        # clusters of one block are finished
+        # at the first level clusters of one block are finished; later levels see only heads
         wide = materialize(placed.where("n_i > 1").select("node", "root"))
+        open_ = wide if open_ is None else open_
         before = wide.count()
         if not before:
             break
@@ -428,22 +430,27 @@ def _cluster_links(found: DataFrame, like: Likeness) -> DataFrame:
         level += 1
         if standing.count() * 2 > before:
             break
-    if not before:
+    if not level:
         return links
-    # sets outside the largest component of a cluster against all sets of the cluster
-    open_ = clusters.join(standing.select("root").distinct(), "root", "left_semi")
-    parts = materialize(components(links)).withColumnRenamed("root", "head")
+    # heads stand for others only where links are transitive: in each cluster of several blocks, the sets
+    # outside the largest component found meet all sets of the cluster
+    known = links.join(open_.select(F.col("node").alias("a")), "a", "left_semi")
+    parts = components(known).withColumnRenamed("root", "head")
     named = materialize(open_.join(parts, "node", "left").select("node", "root", F.coalesce("head", "node").alias("head")))
     main = named.groupBy("root", "head").count().groupBy("root").agg(F.max_by("head", F.struct("count", "head")).alias("main"))
-    named = named.join(main, "root")
-    every = blocked(named.select("node", "root"), "i", 0)
-    odd = blocked(named.where("head <> main").select("node", "root"), "j", 0)
-    n_i = every.select("root", "n_i").distinct()
-    n_j = odd.select("root", "n_j").distinct()
-    left = every.join(n_j, "root").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_j") - 1)))
-    right = odd.join(n_i, "root").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)))
-    names = ["node", "root", "i", "j"]
-    placed = left.select(*names).unionByName(right.select(*names)).distinct()
+    named = materialize(named.join(main, "root"))
+    odd = blocked(named.where("head <> main").select("node", "root"), "b", 0)
+    rest = blocked(named.where("head = main").select("node", "root"), "b", 0)
+    n_odd = odd.groupBy("root").agg(F.max("n_b").alias("n_odd"))
+    n_rest = rest.groupBy("root").agg(F.max("n_b").alias("n_rest"))
+    n = materialize(n_odd.join(n_rest, "root"))
+    if n.isEmpty():
+        return links
+    # blocks of odd sets are numbered before the others, and each meets all of higher number
+    odd = odd.join(n, "root").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_odd") + F.col("n_rest") - 1))).where("other <> b")
+    rest = rest.join(n, "root").withColumn("b", F.col("b") + F.col("n_odd")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_odd") - 1)))
+    placed = odd.select("node", "root", "b", "other").unionByName(rest.select("node", "root", "b", "other"))
+    placed = placed.select("node", "root", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"))
     return links.unionByName(_block_links(found, placed, like))
 
 

@@ -87,6 +87,36 @@ def test_combinations_catch_what_single_keys_leave(spark, monkeypatch):
     assert run(spark, texts, ids) == brute(list(zip(ids, texts)))
 
 
+def test_families_linked_by_single_members(spark, monkeypatch):
+    """Families of several blocks in one cluster, where one member of each links to one of the next."""
+    monkeypatch.setattr(J, "FREQUENT", 2)
+    monkeypatch.setattr(J, "BLOCK", 16)
+    base = [f"w{i}" for i in range(200)]
+
+    def edited(at, own=None):
+        w = list(base)
+        for p in at:
+            w[5 * p] = f"new{p}"
+        if own is not None:
+            w[2 + 5 * (own % 39)] = f"own{own}"
+        return " ".join(w)
+
+    texts, own = [], 0
+    for family in range(4):
+        at = list(range(6 * family))
+        for own in range(own, own + 40):
+            texts.append(edited(at, own))
+        own += 1
+        if family < 3:
+            # two edits off this family, then two edits on, then two edits to the next family
+            n = 6 * family
+            texts += [edited(range(n + 2)), edited(range(n + 4))]
+    ids = list(range(len(texts)))
+    want = brute(list(zip(ids, texts)))
+    assert {c for _, _, c in want} == {0}
+    assert run(spark, texts, ids) == want
+
+
 def test_keep_one(spark):
     texts = near_copies(7, [30, 80], groups=10)
     texts += [texts[0], None, "", "", "one", "one"]
