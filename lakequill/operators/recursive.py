@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEPS = 1000
+#: So many layers are read side by side before they are written as one table.
+LAYERS = 32
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -76,20 +78,26 @@ def queue(
     taken out, emitted, and its successors go in. Without `order` rows leave first in, first out.
 
     Rows are numbered in the order they leave (`_turn`). Without `order`, whole layers leave at
-    once. With `order` one row leaves at a time: the limit bounds the number of steps.
+    once. With `order` one row leaves at a time. Each step emits a row at least, so a limit ends
+    the loop, however large; without one, rows still pending after `steps` steps are an error.
     """
     names = seed.columns
     want = limit + offset if limit >= 0 else None
     if order is None:
-        out, front, taken = [], _written(seed.distinct() if distinct else seed), 0
-        for depth in range(steps):
+        out, front, taken, depth = [], _written(seed.distinct() if distinct else seed), 0, 0
+        while True:
             n = front.count()
             if not n or (want is not None and taken >= want):
                 break
+            if want is None and depth >= steps:
+                raise RuntimeError(f"rows are still pending after {steps} steps")
+            depth += 1
             turn = F.row_number().over(Window.orderBy(*names)) + taken
             part = front if want is None or taken + n <= want else front.orderBy(*names).limit(want - taken)
             out.append(part.withColumn("_turn", turn))
             taken += n
+            if len(out) > LAYERS:
+                out = [_written(_all(out))]
             fresh = step(front).toDF(*names)
             if distinct:
                 fresh = fresh.distinct()
@@ -99,18 +107,26 @@ def queue(
         rows = _all(out)
     else:
         pending, out, turn = _written(seed), [], 0
-        seen = pending
+        seen = [pending]
         while want is None or turn < want:
             first = _written(pending.orderBy(*order).limit(1))
-            if first.isEmpty() or turn >= steps:
+            if first.isEmpty():
                 break
+            if want is None and turn >= steps:
+                raise RuntimeError(f"rows are still pending after {steps} steps")
             turn += 1
             out.append(first.withColumn("_turn", F.lit(turn)))
+            if len(out) > LAYERS:
+                out = [_written(_all(out))]
             fresh = step(first).toDF(*names)
             if distinct:
-                fresh = fresh.distinct().join(seen, _same(fresh, seen, names), "left_anti")
+                known = _all(seen)
+                fresh = fresh.distinct().join(known, _same(fresh, known, names), "left_anti")
             fresh = _written(fresh)
-            seen = seen.unionAll(fresh) if distinct else seen
+            if distinct:
+                seen.append(fresh)
+                if len(seen) > LAYERS:
+                    seen = [_written(_all(seen))]
             rest = pending.orderBy(*order).offset(1) if pending.count() > 1 else pending.limit(0)
             pending = _written(rest.unionAll(fresh))
         rows = _all(out)

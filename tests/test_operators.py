@@ -63,6 +63,18 @@ def test_recursion(spark):
     assert [r.k for r in turns.orderBy("_turn").collect()] == [1, 3, 9, 6, 18]
 
 
+def test_queue_never_stops_short(spark):
+    seed = spark.createDataFrame([(1,)], "k int")
+    more = lambda t: t.select(F.col("k") + 1)
+    assert rows(queue(seed, more, 36, 1, steps=3).select("k")) == [(k,) for k in range(2, 38)]
+    turns = queue(seed, more, 5, 0, [F.col("k")], steps=3)
+    assert [r.k for r in turns.orderBy("_turn").collect()] == [1, 2, 3, 4, 5]
+    for order in (None, [F.col("k")]):
+        with pytest.raises(RuntimeError):
+            queue(seed, more, -1, 0, order, steps=3)
+        assert queue(seed, lambda t: more(t).where("k < 3"), -1, 0, order, steps=3).count() == 3
+
+
 def test_band_and_lateral(spark):
     a = spark.createDataFrame([(i, i % 3, i * 1.5) for i in range(60)], "id int, g int, x double")
     got = banded_join(a, a, ["g"], "x", "x", 7.0, -2.0).select("id", "r_id")
