@@ -58,6 +58,9 @@ _IS_LETTER = _CODE > 0
 _IS_SIGN = separators("".join(READINGS))
 _IS_DIGIT = separators("0123456789")
 _SPACED = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9@$!|+](?:[ ._*-][A-Za-z0-9@$!|+]){2,}(?![A-Za-z0-9])|[A-Za-z0-9@$!|+*]+")
+#: Characters of a token, and those of them that no restored body ends in.
+_IN_TOKEN = separators("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789@$!|+*")
+_SOFT = separators("!|+*@")
 _RUN = re.compile(r"([A-Za-z])\1\1")
 
 
@@ -188,15 +191,22 @@ class Decoder:
 
 
 def suspicious_rows(c: Chunk) -> np.ndarray:
-    """True for rows that may hold a token to restore."""
+    """True for rows that may hold a token to restore: at least those where restore() decodes one."""
     b = np.insert(c.buf, c.offs[1:], 10)  # a break after each row
     offs = c.offs + np.arange(len(c.offs))
     flag = np.zeros(len(b), bool)
     if len(b) >= 3:
-        letter, sign, low = _IS_LETTER[b], _IS_SIGN[b], LOWER[b]
-        flag[:-1] |= sign[:-1] & letter[1:]
-        flag[1:] |= sign[1:] & letter[:-1] & _IS_DIGIT[b[1:]]
-        flag[1:-1] |= letter[:-2] & (b[1:-1] == 42) & letter[2:]
+        letter, soft, low = _IS_LETTER[b], _SOFT[b], LOWER[b]
+        # a sign or asterisk before the end of the body, in a token with a letter
+        mark = _IS_SIGN[b] & ~soft
+        mark[:-1] |= soft[:-1] & _IN_TOKEN[b[1:]] & ~soft[1:]
+        at = np.flatnonzero(mark)
+        if len(at):
+            ends = np.flatnonzero(~_IN_TOKEN[b])  # the last byte is a break
+            k = np.searchsorted(ends, at)
+            first = np.where(k > 0, ends[np.maximum(k - 1, 0)] + 1, 0)
+            seen = np.concatenate([[0], np.cumsum(letter)])
+            flag[at] = seen[ends[k]] > seen[first]
         flag[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
     if len(b) >= 5:
         word = _IS_LETTER[b] | _IS_DIGIT[b]

@@ -111,3 +111,20 @@ def test_awkward_rows(spark, op):
     twice = docs(spark, ["a b", None, "a b", ""], [1, 1, None, None])
     got = op(twice, spark.createDataFrame([(1, 1, 0)], LABELS)).collect()
     assert len(got) == 4 and len({r.score for r in got if r.doc_id == 1}) <= 2
+
+
+def test_prefilter_leaves_out_no_token():
+    decoder = X.Decoder(X.log_model(np.ones(27**3, np.int64)))
+    decoded = []
+    decode = decoder.decode
+    decoder.decode = lambda token: decoded.append(token) or decode(token)
+    rng = random.Random(4)
+    texts = ["dumba$$", "what a dumba$$.", "dumba$$ here", "a2$", "abc!5", "b6@4", "plain words!", "455", "@$$", "x", "", "é$ a"]
+    texts += ["".join(rng.choice("abAZ0245$@!|+* ._-,é\n") for _ in range(rng.randint(0, 9))) for _ in range(20000)]
+    flags = np.concatenate([X.suspicious_rows(c) for c in X.chunks(pa.array(texts))])
+    assert len(flags) == len(texts) and list(flags[:6]) == [True] * 6 and not flags[6:8].any()
+    for text, flag in zip(texts, flags):
+        decoded.clear()
+        decoder.restore_token.cache_clear()
+        if decoder.restore(text)[1] or decoded:
+            assert flag, text
