@@ -19,8 +19,9 @@ links; one set stands for each component found, and these meet in blocks again
 while their number halves. Where a cluster of several blocks is not one component
 by then, the sets outside its largest component meet all others, a pair of blocks
 at a time: a set that stands for others need not have their links.
-A group of true copies thus costs about its size, and neither rows nor one
-task's memory grow with the square of a group. No cap is set anywhere.
+A group of true copies thus costs about its size, and one task's memory does not
+grow with the square of a group. Rows and shuffled text do, as N*N/256, where most
+of N sets lie outside the largest component. No cap is set anywhere.
 
 Shingles are 64-bit hashes of lower-cased (A-Z) words. The threshold must be at
 least 3/4, so that a set has more shingles than it has parts.
