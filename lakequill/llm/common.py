@@ -35,7 +35,7 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def parts_for(df: DataFrame, bytes_each: int = 2 << 20, least: int = 8, most: int = 1 << 20) -> int:
+def parts_for(df: DataFrame, bytes_each: int = 2 << 20, least: int = 8, most: int = 1 << 26) -> int:
     """How many buckets hold about `bytes_each` bytes of a plan's estimated input size.
 
     The estimate comes from the plan's statistics (file sizes), without running a job; it only

@@ -2,8 +2,9 @@
 
 Texts are handled as one byte buffer with row offsets. A word is a maximal
 run of bytes that are not in a separator set; separators are ASCII, so byte
-runs and code point runs are the same. Rolling polynomial hashes come from
-prefix sums, which makes the cost of a pass independent of word lengths.
+runs and code point runs are the same. Hashes name spans; where equality of
+spans decides a result, operators compare the words themselves or hold enough
+hash bits that an accident cannot be met.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text handled at once: large enough to amortise numpy calls, small enough to bound a worker's memory.
 CHUNK_BYTES = 2 << 20
@@ -47,30 +49,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse, self.n = base, pow(base, -1, 1 << 64), 0
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, CHUNK_BYTES + (1 << 16))
-            self.up = np.cumprod(np.full(self.n, self.base, U64)) * U64(self.inverse)
-            self.down = np.cumprod(np.full(self.n, self.inverse, U64)) * U64(self.base)
-        return self.up, self.down
-
-
-_POWERS: dict[int, _Powers] = {}
+#: Spans of more bytes than this are hashed one by one; their number is bounded by the buffer's length.
+_LONG = 96
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _R1) -> np.ndarray:
-    """64-bit hashes of values[start:end] for many spans at once."""
-    up, down = _POWERS.setdefault(base, _Powers(base)).upto(len(values) + 1)
-    total = np.empty(len(values) + 1, U64)
-    total[0] = 0
-    np.cumsum((values.astype(U64) + U64(1)) * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * _Q)
+    """64-bit hashes of values[start:end] for many spans at once.
+
+    Eight bytes at a time are chained through a finaliser; nothing is linear in the bytes, so
+    no arrangement of equal parts cancels. `base` selects an independent hash.
+    """
+    length = ends - starts
+    out = mix(length.astype(U64) * _Q + U64(base))
+    padded = np.zeros(len(values) + 8, np.uint8)
+    padded[: len(values)] = values
+    wide = np.ndarray(len(values) + 1, np.dtype("<u8"), padded, strides=(1,))
+    live = np.flatnonzero((length > 0) & (length <= _LONG))
+    at, left = starts[live], length[live]
+    while len(live):
+        out[live] = mix((out[live] ^ (wide[at] & _TAIL[np.minimum(left, 8)])) * _Q + U64(base))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(length > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(padded[starts[i] : ends[i]].tobytes(), base)
+    return out
 
 
 @dataclass
@@ -124,15 +127,23 @@ def second_base() -> int:
 
 
 def ngrams(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of k consecutive entries, for every start that leaves k entries."""
+    """Hashes of k consecutive entries, for every start that leaves k entries.
+
+    Runs of 1, 2, 4, ... entries are combined by the binary digits of k.
+    """
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, U64)
-    out = h[:n].copy()
-    for j in range(1, k):
-        out *= _Q
-        out += h[j : n + j]
-    return mix(out)
+    run, size, out, done = h, 1, None, 0
+    while True:
+        if k & size:
+            piece = run[done : done + n]
+            out = mix(piece + U64(k)) if out is None else mix(out * _Q + piece)
+            done += size
+        if done == k:
+            return out
+        run = mix(run[:-size] * _Q + run[size:])
+        size *= 2
 
 
 def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:

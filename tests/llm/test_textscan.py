@@ -29,6 +29,27 @@ def test_words_and_hashes(texts, limit):
     assert len(set(names.values())) == len(names)
 
 
+def test_arrangements_of_equal_parts_differ():
+    """Thue-Morse words and their complements cancel in hashes that are linear modulo a power of two."""
+    for bits in (6, 8, 10, 12):
+        turn = [bin(i).count("1") & 1 for i in range(1 << bits)]
+        a, b = ("".join(w[t] for t in turn) for w in ("ab", "ba"))
+        c = next(X.chunks(pa.array([f"{a} {b}"])))
+        for base in (X._R1, X._R2):
+            h = c.words().hashes(base)
+            assert h[0] != h[1]
+        g = X.ngrams(np.array([1 + t for t in turn] + [2 - t for t in turn], np.uint64), 1 << bits)
+        assert g[0] != g[1 << bits]
+
+
+@given(st.lists(st.integers(1, 9), max_size=40), st.integers(1, 14))
+@settings(max_examples=100, deadline=None)
+def test_ngrams_depend_on_their_entries_alone(values, k):
+    g = X.ngrams(np.array(values, np.uint64), k)
+    runs = [tuple(values[i : i + k]) for i in range(len(values) - k + 1)]
+    assert len(g) == len(runs) and len(set(zip(runs, g.tolist()))) == len(set(runs)) == len(set(g.tolist()))
+
+
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=50))
 def test_packing_round_trip(values):
     a = np.sort(np.array(values, np.uint64))
