@@ -1,4 +1,4 @@
-"""Removal of repeated passages, located by Aho-Corasick automata.
+"""Removal of repeated passages, located by sharded Aho-Corasick automata.
 
 A passage is a window of `window` consecutive words. Documents are dealt once
 into buckets of bounded size, and this one exchange serves three passes:
@@ -7,17 +7,21 @@ into buckets of bounded size, and this one exchange serves three passes:
    phrases (its minimizer), which depends on the window alone. Buckets send
    their distinct minimizers with the smallest and largest doc_id that hold
    them; shards by hash range find those of two documents or more and send
-   them back to the buckets that hold them.
-2. A bucket compiles its recurring phrases into automata of at most
-   `AUTOMATON_PHRASES` phrases and streams all its documents through them. A
-   window whose minimizer phrase is located this way is a candidate; candidates
-   go, once per bucket, to shards by window hash, which confirm recurrence and
-   send the smallest doc_id back where a larger one holds the window.
-3. Buckets drop the words covered by those windows.
-
-What a shard sees of one passage is an entry per bucket, not per document, so a
-passage that a third of all documents share stays small. Two hashes of 64 and
-32 bits stand for a window.
+   them back to the buckets that hold them. This only narrows the search.
+2. Buckets cut their documents into segments, runs of windows with one such
+   minimizer, and send each distinct segment's words once to the minimizer's
+   shard, where all windows of one wording meet. The shard compares the words
+   and confirms the windows that start in two documents or more. Consecutive
+   windows that first start in the same document form a passage; each bucket
+   that holds it in a larger document gets its words and that smallest doc_id.
+3. A bucket compiles the passages it was sent into automata over words, of at
+   most `AUTOMATON_PHRASES` passages each, and streams all its documents through
+   them. Every match in a document above the passage's smallest doc_id is removed.
+
+Hashes choose shards and candidates; a window is repeated, and a passage is
+located, by its words alone. What a shard sees of one passage is an entry per
+bucket, not per document, so a passage that a third of all documents share
+stays small.
 
 Defined cases: null text counts as empty; a null doc_id is neither smaller nor
 larger than others, so its document keeps all words and removes none; rows that
@@ -34,26 +38,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakequill.llm.common import parts_for
-from lakequill.llm.textscan import (
-    U64,
-    Chunk,
-    Words,
-    chunks,
-    ngrams,
-    pack,
-    pack_sorted,
-    second_base,
-    unpack,
-    unpack_sorted,
-)
+from lakequill.llm.textscan import U64, Chunk, Words, chunks, mix, ngrams, pack, pack_sorted, ranges, unpack, unpack_sorted
 
 WINDOW = 13
-SEED = 5
-AUTOMATON_PHRASES = 20_000
+SEED = 7
+AUTOMATON_PHRASES = 30_000
 #: Compressed input bytes for each bucket, and as many shards as buckets.
 BUCKET_BYTES = 2 << 20
 
-_FOUND = "shard int, bucket int, keys binary, checks binary, low binary, span binary"
+_FOUND = "shard int, bucket int, keys binary, low binary, span binary"
+_BACK = "bucket int, keys binary, low binary"
+_NO_ID = np.iinfo(np.int64).min
 
 
 class _Bucket:
@@ -68,7 +63,7 @@ class _Bucket:
         self.words: Words = self.chunk.words()
         self.row = self.words.rows()
         ids = self.table["doc_id"].combine_chunks()
-        self.doc = ids.fill_null(0).to_numpy(zero_copy_only=False)[self.row]
+        self.doc = ids.fill_null(_NO_ID).to_numpy(zero_copy_only=False)[self.row]
         known = ids.is_valid().to_numpy(zero_copy_only=False)[self.row]
         n = len(self.row) - window + 1
         self.starts = np.flatnonzero((self.row[:n] == self.row[window - 1 :]) & known[:n]) if n > 0 else np.empty(0, np.int64)
@@ -85,89 +80,147 @@ class _Bucket:
             at = np.where(less, self.starts + j, at)
         return best, at
 
-    def distinct(self, keys: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct keys of the windows `pick`, the place of one of them, the smallest doc_id and the span to the largest."""
+    def distinct(self, keys: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct keys of the windows `pick`, the smallest doc_id and the span to the largest."""
         order = np.argsort(keys, kind="stable")
-        k = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
+        first = _cuts(keys[order])[:-1]
         doc = self.doc[self.starts[pick[order]]]
-        if not len(k):
-            return k, first, doc, doc
+        if not len(first):
+            return keys, doc, doc
         low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
-        return k[first], order[first], low, high - low
+        return keys[order][first], low, high - low
+
+    def texts(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """The words first to last (exclusive) of each pair, joined by one space."""
+        raw = self.chunk.buf.tobytes()
+        begins, ends = self.words.starts[first].tolist(), self.words.ends[last - 1].tolist()
+        return [b" ".join(raw[a:z].split()) for a, z in zip(begins, ends)]
+
+
+def _cuts(a: np.ndarray) -> np.ndarray:
+    """Starts of runs of equal values, and the end."""
+    if not len(a):
+        return np.zeros(1, np.int64)
+    return np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]])
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
 
 
-def _deal(bucket: int, shards: int, keys, checks, low, span) -> pa.Table:
+def _table(schema: str, cols: list[list]) -> pa.Table:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields)], names=[n for n, _ in fields])
+
+
+def _deal(bucket: int, shards: int, keys: np.ndarray, low: np.ndarray, span: np.ndarray) -> pa.Table:
     """One row per shard that gets any of the ascending keys."""
-    shard = _shard(keys, shards)
-    cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.empty(0, np.int64)
-    ends = np.append(cuts[1:], len(shard))
-    cols: dict[str, list] = {c: [] for c in ("shard", "bucket", "keys", "checks", "low", "span")}
-    for a, b in zip(cuts, ends):
-        cols["shard"].append(int(shard[a]))
-        cols["bucket"].append(bucket)
-        cols["keys"].append(pack_sorted(keys[a:b]))
-        cols["checks"].append(pack(checks[a:b]) if checks is not None else None)
-        cols["low"].append(pack(low[a:b]))
-        cols["span"].append(pack(span[a:b]))
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(v, t) for v, t in zip(cols.values(), kinds)], names=list(cols))
-
-
-def _recurring(table: pa.Table, both: bool) -> pa.Table:
-    """What a shard sends back: keys of two documents or more, to every bucket (both), or
-    only where a document above the smallest holds them, with that smallest doc_id."""
+    cuts = _cuts(shard := _shard(keys, shards))
+    each = list(zip(cuts[:-1], cuts[1:]))
+    return _table(_FOUND, [[int(shard[a]) for a, _ in each], [bucket] * len(each), [pack_sorted(keys[a:z]) for a, z in each], [pack(low[a:z]) for a, z in each], [pack(span[a:z]) for a, z in each]])
+
+
+def _recurring(table: pa.Table) -> pa.Table:
+    """What a shard sends back to each bucket: those of its minimizers that two documents or more hold."""
     buckets = table["bucket"].to_pylist()
     keys = [unpack_sorted(k) for k in table["keys"].to_pylist()]
-    sizes = [len(k) for k in keys]
-    src = np.repeat(np.arange(len(keys)), sizes)
+    src = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
     key = np.concatenate(keys)
     low = np.concatenate([unpack(b, np.int64) for b in table["low"].to_pylist()])
     high = low + np.concatenate([unpack(b, np.int64) for b in table["span"].to_pylist()])
-    checks = table["checks"].to_pylist()
-    check = np.zeros(len(key), np.uint32) if checks[0] is None else np.concatenate([unpack(b, np.uint32) for b in checks])
-    order = np.lexsort((check, key))
-    k, c = key[order], check[order]
-    first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
-    least = np.minimum.reduceat(low[order], first)
-    most = np.maximum.reduceat(high[order], first)
-    size = np.diff(np.append(first, len(k)))
-    least, most = np.repeat(least, size), np.repeat(most, size)
-    keep = (least < most) if both else (high[order] > least)
-    order, least = order[keep], least[keep]
-    back = np.lexsort((key[order], src[order]))
-    order, least = order[back], least[back]
-    s = src[order]
-    cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
-    ends = np.append(cuts[1:], len(s))
-    out = [(buckets[s[a]], pack_sorted(key[order[a:b]]), None if both else pack(least[a:b])) for a, b in zip(cuts, ends)]
-    return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "low"])
-
-
-def _locate(b: _Bucket, at: np.ndarray) -> np.ndarray:
-    """True at every word where one of the phrases that start at words `at` starts."""
-    data, offs = b.chunk.buf, b.chunk.offs
-    rows = [b" ".join(data[offs[r] : offs[r + 1]].tobytes().split()) for r in range(b.chunk.rows)]
-    stream = "".join(f" {r.decode('utf-8', 'surrogatepass')} \n" for r in rows)
-    code = np.frombuffer(stream.encode("utf-32-le", "surrogatepass"), np.uint32)
-    blank = (code == 32) | (code == 10)
-    begins = np.flatnonzero(~blank[1:] & blank[:-1]) + 1  # of each word, in code points
-    ends = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
-    hit = np.zeros(len(begins), bool)
-    number = np.cumsum(~blank & np.concatenate([[True], blank[:-1]])) - 1
-    phrases = sorted({stream[begins[p] : ends[p + b.seed - 1]] for p in at.tolist()})
-    for k in range(0, len(phrases), AUTOMATON_PHRASES):
-        auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for phrase in phrases[k : k + AUTOMATON_PHRASES]:
-            auto.add_word(f" {phrase} ")
+    order = np.argsort(key, kind="stable")
+    cuts = _cuts(key[order])
+    both = np.minimum.reduceat(low[order], cuts[:-1]) < np.maximum.reduceat(high[order], cuts[:-1])
+    order = order[np.repeat(both, np.diff(cuts))]
+    order = order[np.lexsort((key[order], src[order]))]
+    cuts = _cuts(src[order])
+    each = list(zip(cuts[:-1], cuts[1:]))
+    return _table(_BACK, [[buckets[src[order[a]]] for a, _ in each], [pack_sorted(key[order[a:z]]) for a, z in each], [None] * len(each)])
+
+
+def _segments(b: _Bucket, recurring: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, last word (exclusive) and minimizer of each run of windows with one recurring minimizer."""
+    best, at = b.minimizers()
+    spot = np.minimum(np.searchsorted(recurring, best), len(recurring) - 1)
+    pick = np.flatnonzero(recurring[spot] == best)
+    s, a = b.starts[pick], at[pick]
+    if not len(s):
+        return s, s, best[pick]
+    cut = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1] + 1) | (a[1:] != a[:-1])]))
+    return s[cut], s[np.append(cut[1:], len(s)) - 1] + b.window, best[pick[cut]]
+
+
+def _groups(ids: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """A number for each window of word ids that starts at `at`; equal numbers where all words are equal."""
+    key = ngrams(mix(ids.astype(U64)), window)[at]
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    a, b = at[order[1:][same]], at[order[:-1][same]]
+    if any((ids[a + j] != ids[b + j]).any() for j in range(window)):
+        # different words under one hash: compare whole windows
+        return np.unique(np.column_stack([ids[at + j] for j in range(window)]), axis=0, return_inverse=True)[1].reshape(-1)
+    out = np.empty(len(at), np.int64)
+    out[order] = np.cumsum(np.concatenate([[True], ~same])) - 1
+    return out
+
+
+def _confirm(table: pa.Table, window: int) -> pa.Table:
+    """The passages of a shard's segments that repeat one of a smaller doc_id, for each bucket that holds them."""
+    number: dict[bytes, int] = {}
+    words: list[bytes] = []
+    sizes, bucket = [], []
+    for b, texts in zip(table["bucket"].to_pylist(), table["keys"].to_pylist()):
+        for text in texts.split(b"\n"):
+            mine = text.split(b" ")
+            words += mine
+            sizes.append(len(mine))
+            bucket.append(b)
+    ids = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+    low = np.concatenate([unpack(b, np.int64) for b in table["low"].to_pylist()])
+    high = low + np.concatenate([unpack(b, np.int64) for b in table["span"].to_pylist()])
+    size = np.array(sizes, np.int64)
+    n = size - window + 1
+    at, seg = ranges(np.cumsum(size) - size, n), np.repeat(np.arange(len(size)), n)
+    group = _groups(ids, at, window)
+    order = np.argsort(group, kind="stable")
+    least = np.minimum.reduceat(low[seg[order]], _cuts(group[order])[:-1])[group]
+    keep = np.flatnonzero(high[seg] > least)
+    at, seg, least = at[keep], seg[keep], least[keep]
+    out: dict[int, dict[bytes, int]] = {}
+    if len(at):
+        cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (seg[1:] != seg[:-1]) | (least[1:] != least[:-1])]))
+        ends = at[np.append(cut[1:], len(at)) - 1] + window
+        for a, z, s, d in zip(at[cut].tolist(), ends.tolist(), seg[cut].tolist(), least[cut].tolist()):
+            out.setdefault(bucket[s], {})[b" ".join(words[a:z])] = d
+    return _table(_BACK, [list(out), [b"\n".join(x) for x in out.values()], [pack(np.array(list(x.values()), np.int64)) for x in out.values()]])
+
+
+def _locate(b: _Bucket, passages: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, last word (exclusive) and smallest doc_id of every occurrence of a passage in the bucket's documents."""
+    number: dict[bytes, int] = {}
+    keys = []
+    for text in passages:
+        # 0 stands for other words, 1 for the end of a document
+        keys.append(tuple([number.setdefault(w, len(number) + 2) for w in text.split(b" ")]))
+    data, offs, stream = b.chunk.buf.tobytes(), b.chunk.offs.tolist(), []
+    for r in range(b.chunk.rows):
+        stream += [number.get(w, 0) for w in data[offs[r] : offs[r + 1]].split()]
+        stream.append(1)
+    sequence = tuple(stream)
+    found: list[tuple[int, int]] = []
+    for k in range(0, len(keys), AUTOMATON_PHRASES):
+        auto = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for i, key in enumerate(keys[k : k + AUTOMATON_PHRASES], k):
+            auto.add_word(key, i)
         auto.make_automaton()
-        places = np.fromiter((e for e, _ in auto.iter(stream)), np.int64)
-        hit[number[places] - b.seed + 1] = True
-    return hit
+        found += auto.iter(sequence)
+    hits = np.array(found, np.int64).reshape(-1, 2)
+    size, low = np.array([len(k) for k in keys], np.int64), np.array(list(passages.values()), np.int64)
+    first = hits[:, 0] + 1 - size[hits[:, 1]]
+    # each earlier document ends in one more element than it has words
+    first = first - np.searchsorted(b.words.ptr[1:] + np.arange(b.chunk.rows), first)
+    return first, first + size[hits[:, 1]], low[hits[:, 1]]
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -180,23 +233,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
         b = _Bucket(table, window, seed)
         best, _ = b.minimizers()
         fresh = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (b.row[b.starts][1:] != b.row[b.starts][:-1])])) if len(best) else np.empty(0, np.int64)
-        keys, _, low, span = b.distinct(best[fresh], fresh)
-        return _deal(table["bucket"][0].as_py(), n, keys, None, low, span)
+        return _deal(table["bucket"][0].as_py(), n, *b.distinct(best[fresh], fresh))
 
     def candidates(table: pa.Table, known: pa.Table) -> pa.Table:
         b = _Bucket(table, window, seed) if table.num_rows else None
-        none = np.empty(0, U64)
         if b is None or not known.num_rows or not len(b.starts):
-            return _deal(0, n, none, none, none, none)
-        recurring = np.sort(np.concatenate([unpack_sorted(k) for k in known["keys"].to_pylist()]))
-        best, at = b.minimizers()
-        spot = np.minimum(np.searchsorted(recurring, best), len(recurring) - 1)
-        hit = _locate(b, np.unique(at[recurring[spot] == best]))
-        pick = np.flatnonzero(hit[at])
-        whole = ngrams(b.hash, window)[b.starts[pick]]
-        second = ngrams(b.words.hashes(second_base()), window)[b.starts[pick]]
-        keys, one, low, span = b.distinct(whole, pick)
-        return _deal(table["bucket"][0].as_py(), n, keys, (second[one] >> U64(32)).astype(np.uint32), low, span)
+            return _table(_FOUND, [[]] * 5)
+        first, last, key = _segments(b, np.sort(np.concatenate([unpack_sorted(k) for k in known["keys"].to_pylist()])))
+        held: dict[bytes, list[int]] = {}
+        for text, doc, to in zip(b.texts(first, last), b.doc[first].tolist(), _shard(key, n).tolist()):
+            # documents ascend within a bucket
+            held.setdefault(text, [to, doc, doc])[2] = doc
+        sent: dict[int, list[bytes]] = {}
+        for text, (to, _, _) in held.items():
+            sent.setdefault(to, []).append(text)
+        low = [pack(np.array([held[x][1] for x in texts], np.int64)) for texts in sent.values()]
+        span = [pack(np.array([held[x][2] - held[x][1] for x in texts], np.int64)) for texts in sent.values()]
+        return _table(_FOUND, [list(sent), [table["bucket"][0].as_py()] * len(sent), [b"\n".join(x) for x in sent.values()], low, span])
 
     def drop(table: pa.Table, known: pa.Table) -> pa.Table:
         names = ["doc_id", "n_words", "removed", "kept"]
@@ -206,16 +259,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
             return pa.table([pa.array([], t) for t in kinds], names=names)
         b = _Bucket(table, window, seed)
         covered = np.zeros(len(b.row) + 1, np.int64)
-        if known.num_rows and len(b.starts):
-            keys = np.concatenate([unpack_sorted(k) for k in known["keys"].to_pylist()])
-            low = np.concatenate([unpack(k, np.int64) for k in known["low"].to_pylist()])
-            order = np.argsort(keys)
-            keys, low = keys[order], low[order]
-            whole = ngrams(b.hash, window)[b.starts]
-            spot = np.minimum(np.searchsorted(keys, whole), len(keys) - 1)
-            gone = b.starts[(keys[spot] == whole) & (b.doc[b.starts] > low[spot])]
-            np.add.at(covered, gone, 1)
-            np.subtract.at(covered, gone + window, 1)
+        passages: dict[bytes, int] = {}
+        for texts, low in zip(known["keys"].to_pylist(), known["low"].to_pylist()):
+            passages.update(zip(texts.split(b"\n"), unpack(low, np.int64).tolist()))
+        if passages:
+            first, last, low = _locate(b, passages)
+            gone = b.doc[first] > low
+            np.add.at(covered, first[gone], 1)
+            np.subtract.at(covered, last[gone], 1)
         covered = np.cumsum(covered[:-1]) > 0
         edge = np.zeros(len(covered), bool)
         edge[b.words.ptr[:-1][b.words.counts() > 0]] = True
@@ -240,10 +291,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
 
     dealt = rows.groupBy("bucket")
     found = dealt.applyInArrow(seeds, _FOUND)
-    back = "bucket int, keys binary, low binary"
-    known = found.groupBy("shard").applyInArrow(lambda t: _recurring(t, True), back)
+    known = found.groupBy("shard").applyInArrow(_recurring, _BACK)
     found = dealt.cogroup(known.groupBy("bucket")).applyInArrow(candidates, _FOUND)
-    known = found.groupBy("shard").applyInArrow(lambda t: _recurring(t, False), back)
+    known = found.groupBy("shard").applyInArrow(lambda t: _confirm(t, window), _BACK)
     schema = "doc_id bigint, n_words bigint, removed array<struct<start:bigint,end:bigint>>, kept string"
     return dealt.cogroup(known.groupBy("bucket")).applyInArrow(drop, schema)
 
