@@ -1,22 +1,31 @@
 """Exact top-k inner products over norm-sorted blocks.
 
-Vectors are dealt into blocks by descending length. A query meets a block's
-vectors in that order and stops where |q| times the next length cannot reach
-its k-th best score. The others are rotated by the singular vectors of all
-candidates, so that a few leading coordinates carry most of a product: the
-partial product plus the Cauchy-Schwarz bound of the residuals prunes, and only
-survivors get the exact integer product. A fixed head of the longest vectors
-gives every block a good threshold from its start.
+Vectors are dealt into blocks by descending length, and blocks into levels that
+grow by `GROWTH`. Queries run against one level at a time. After a level each
+query knows its k-th best score, and so the least length that can still reach
+it (Cauchy-Schwarz); queries are blocked by that length, and a block of queries
+is sent only to blocks of candidates whose longest vector is long enough. Pairs
+of blocks that fail this are never shuffled, and queries that no later vector
+can reach drop out. The first level is the one block of the longest vectors.
+
+Within a pair of blocks a query meets vectors by descending length and stops
+where |q| times the next length cannot reach its k-th best score. The others
+are rotated by the singular vectors of all candidates, so that a few leading
+coordinates carry most of a product: the partial product plus the
+Cauchy-Schwarz bound of the residuals prunes, and only survivors get the exact
+integer product.
 
 Defined cases: null vectors and vectors with null or non-finite components take
-no part, nor do rows without an id; vectors compare only with vectors of their
-own dimension; rows that repeat an id are rows of their own, each a candidate
-for the others; products beyond 2**53 are computed with whole numbers and
-saturate at the range of a long; other columns are ignored.
+no part, nor do rows without an id, nor finite vectors whose scaled components
+overflow a double; vectors compare only with vectors of their own dimension;
+rows that repeat an id are rows of their own, each a candidate for the others;
+products beyond 2**53 are computed with whole numbers and saturate at the range
+of a long; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +35,18 @@ from pyspark.sql import functions as F
 
 from lakequill.llm.common import materialize
 
+#: Vectors in a block, of candidates and of queries; fewer where they are long.
 BLOCK = 4096
-QUERY_BLOCK = 2048
-HEAD = 1024
+BLOCK_BYTES = 32 << 20
+#: Each level holds so many times the blocks of those before.
+GROWTH = 8
 STEP = 256
+#: Rotations are computed up to this dimension: their size is its square.
+ROTATED = 2048
 _EXACT = 2.0**53
 _IDS = "vec_id bigint"
+_BLOCK_SCHEMA = "dim int, block bigint, edge double, rids binary, ids binary, vecs binary, reach binary"
+_BLOCK_NAMES = [f.split()[0] for f in _BLOCK_SCHEMA.split(", ")]
 
 
 def quantized(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
@@ -59,36 +74,44 @@ def quantized(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(run, f"{_IDS}, dim int, norm double, vec binary")
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Pack consecutive rows of each partition: dim, part (the partition), rids, ids, vecs. Partitions are already ordered."""
+def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Pack consecutive rows of each partition; partitions are already ordered by `key`.
+
+    dim, block (ascending in the order of partitions and rows), edge (the first row's key), rids, ids, vecs, reach.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         held: dict[int, list] = {}
+        count = 0
 
         def out(dim: int) -> pa.RecordBatch:
-            rids, ids, vecs = zip(*held.pop(dim))
+            nonlocal count
+            keys, rids, ids, vecs, reach = zip(*held.pop(dim))
             cols = [
                 pa.array([dim], pa.int32()),
-                pa.array([part], pa.int32()),
+                pa.array([(part << 32) + count], pa.int64()),
+                pa.array([keys[0]], pa.float64()),
                 pa.array([np.array(rids, np.int64).tobytes()], pa.binary()),
                 pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
                 pa.array([b"".join(vecs)], pa.binary()),
+                pa.array([np.array(reach, np.float64).tobytes()], pa.binary()),
             ]
-            return pa.RecordBatch.from_arrays(cols, ["dim", "part", "rids", "ids", "vecs"])
+            count += 1
+            return pa.RecordBatch.from_arrays(cols, _BLOCK_NAMES)
 
         for b in batches:
-            for rid, i, dim, vec in zip(*(b.column(c).to_pylist() for c in range(4))):
+            for dim, *row in zip(*(b.column(c).to_pylist() for c in range(6))):
                 mine = held.setdefault(dim, [])
-                mine.append((rid, i, vec))
-                if len(mine) == size:
+                mine.append(row)
+                if len(mine) >= max(1, min(size, BLOCK_BYTES // max(8 * dim, 1))):
                     yield out(dim)
         for dim in list(held):
             yield out(dim)
 
-    return rows.select("rid", "vec_id", "dim", "vec").mapInArrow(run, "dim int, part int, rids binary, ids binary, vecs binary")
+    return rows.select("dim", key, "rid", "vec_id", "vec", "reach").mapInArrow(run, _BLOCK_SCHEMA)
 
 
 def _open(dim: int, rids: bytes, ids: bytes, vecs: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,8 +154,8 @@ class _Best:
         return np.where(self.rid[:, -1] < 0, -np.inf, self.score[:, -1].astype(np.float64))
 
 
-def search_block(queries, block, head, rotation: np.ndarray, lead: int, k: int) -> _Best:
-    """The k best of `block` for each query that can still be among the k best of head and block together."""
+def search_block(queries, block, reach: np.ndarray, rotation: np.ndarray | None, lead: int, k: int) -> _Best:
+    """The k best of `block` for each query, as far as they attain its `reach` (a k-th best score known before)."""
     q_rid, _, q = queries
     rid, ids, x = block
     best = _Best(len(q), k)
@@ -142,15 +165,7 @@ def search_block(queries, block, head, rotation: np.ndarray, lead: int, k: int)
     order = np.argsort(-norm, kind="stable")
     rid, ids, x, norm = rid[order], ids[order], x[order], norm[order]
     q_norm = np.sqrt((q * q).sum(1))
-    h_rid, _, h = head
-    if len(h):
-        s = q @ h.T
-        s[q_rid[:, None] == h_rid[None, :]] = -np.inf
-        n = min(k, s.shape[1])
-        reach = np.sort(s, 1)[:, -n] if n == k else np.full(len(q), -np.inf)
-    else:
-        reach = np.full(len(q), -np.inf)
-    qr, xr = q @ rotation, x @ rotation
+    qr, xr = (q, x) if rotation is None else (q @ rotation, x @ rotation)
     q_rest, x_rest = (np.sqrt((v[:, lead:] ** 2).sum(1)) for v in (qr, xr))
     for at in range(0, len(x), STEP):
         part = slice(at, at + STEP)
@@ -172,59 +187,82 @@ def search_block(queries, block, head, rotation: np.ndarray, lead: int, k: int)
     return best
 
 
-def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
+def block_pairs(asked: DataFrame, level: DataFrame) -> DataFrame:
+    """(dim, block, asking): blocks of candidates whose longest vector can reach a query of a block of queries."""
+    left = level.select("dim", "block", "edge")
+    right = asked.select("dim", F.col("block").alias("asking"), F.col("edge").alias("need"))
+    return left.join(right, "dim").where("edge >= need").select("dim", "block", "asking")
+
+
+def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, trace: list | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer products for every row where `is_query` holds.
 
-    `is_query` may name vec_id. Queries run against all rows, a block of queries at a time.
+    `is_query` may name vec_id. Queries run against all rows, a block of queries at a time. `trace`
+    takes, for each level, how many blocks it has and how many of them met any query.
     """
-    ints = materialize(quantized(vectors))
-    ints = materialize(ints.withColumn("rid", F.monotonically_increasing_id()))
-    sizes = {r["dim"]: (r["q"], r["n"]) for r in ints.groupBy("dim").agg(F.count(F.when(is_query, 1)).alias("q"), F.count("*").alias("n")).collect()}
-    total = sum(n for _, n in sizes.values())
-    parts = max(1, -(-total // BLOCK))
-    blocks = materialize(_blocks(ints.repartitionByRange(parts, F.desc("norm"), "vec_id", "rid").sortWithinPartitions(F.desc("norm"), "vec_id", "rid"), BLOCK))
-    n_q = sum(q for q, _ in sizes.values())
-    q_parts = max(1, -(-n_q // QUERY_BLOCK))
-    asked = materialize(_blocks(ints.where(is_query).repartition(q_parts, F.xxhash64("rid")), QUERY_BLOCK))
+    ints = materialize(quantized(vectors).withColumn("rid", F.monotonically_increasing_id()))
+    parts = max(1, -(-ints.count() // BLOCK))
+    order = [F.desc("norm"), F.col("vec_id"), F.col("rid")]
+    rows = ints.withColumn("reach", F.lit(0.0)).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    blocks = materialize(_blocks(rows, "norm", BLOCK))
+    nth = F.row_number().over(Window.partitionBy("dim").orderBy("block")) - 1
+    level = F.when(nth == 0, 0).otherwise(1 + F.floor(F.log(nth.cast("double")) / math.log(GROWTH) + 1e-9)).cast("int")
+    known = materialize(blocks.select("dim", "block", "edge").withColumn("level", level))
+    levels = known.agg(F.max("level")).first()[0]
     spins = _rotations(blocks)
-    heads = {}
-    for dim in sizes:
-        top = ints.where(F.col("dim") == dim).orderBy(F.desc("norm"), "vec_id", "rid").limit(HEAD).select("rid", "vec_id", "vec").collect()
-        heads[dim] = _open(dim, np.array([r[0] for r in top], np.int64).tobytes(), np.array([r[1] for r in top], np.int64).tobytes(), b"".join(bytes(r[2]) for r in top))
+    queries = materialize(ints.where(is_query))
+    schema = "q_rid bigint, query_id bigint, vec_id bigint, score bigint, rid bigint"
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[] for _ in names]
         for row in left.to_pylist():
             dim = row["dim"]
-            rotation, lead = spins[dim]
+            rotation, lead = spins.get(dim, (None, dim))
             for asking in right.to_pylist():
-                if asking["dim"] != dim:
-                    continue
-                queries = _open(dim, asking["rids"], asking["ids"], asking["vecs"])
-                best = search_block(queries, _open(dim, row["rids"], row["ids"], row["vecs"]), heads[dim], rotation, lead, k)
+                mine = _open(dim, asking["rids"], asking["ids"], asking["vecs"])
+                reach = np.frombuffer(asking["reach"], np.float64)
+                best = search_block(mine, _open(dim, row["rids"], row["ids"], row["vecs"]), reach, rotation, lead, k)
                 i, j = np.nonzero(best.rid >= 0)
-                for c, a in zip(cols, (queries[0][i], queries[1][i], best.id[i, j], best.score[i, j], best.rid[i, j])):
+                for c, a in zip(cols, (mine[0][i], mine[1][i], best.id[i, j], best.score[i, j], best.rid[i, j])):
                     c.append(a)
-        names = ["q_rid", "query_id", "vec_id", "score", "rid"]
         return pa.table({n: pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for n, c in zip(names, cols)})
 
-    if not n_q:
-        return ints.where("false").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("bigint").alias("score"))
-
-    # each part of the candidates meets each part of the queries in a group of its own
-    def spread(rows: DataFrame, mine: str, other: str, others: DataFrame) -> DataFrame:
-        n = others.agg(F.max("part")).first()[0] + 1
-        return rows.withColumnRenamed("part", mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-    left = spread(blocks, "a", "b", asked).groupBy("a", "b")
-    right = spread(asked, "b", "a", blocks).groupBy("a", "b")
-    found = left.cogroup(right).applyInArrow(run, "q_rid bigint, query_id bigint, vec_id bigint, score bigint, rid bigint")
-    order = Window.partitionBy("q_rid").orderBy(F.desc("score"), "vec_id", "rid")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = F.row_number().over(Window.partitionBy("q_rid").orderBy(F.desc("score"), "vec_id", "rid"))
+    best: DataFrame | None = None
+    for at in range((levels if levels is not None else -1) + 1):
+        here = known.where(F.col("level") == at)
+        longest = here.groupBy("dim").agg(F.max("edge").alias("longest"))
+        live = queries.withColumn("reach", F.lit(None).cast("double"))
+        if best is not None:
+            full = best.groupBy("q_rid").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("reach")).where(F.col("n") >= k)
+            live = queries.join(full.select(F.col("q_rid").alias("rid"), "reach"), "rid", "left")
+        # a k-th best score of 0 or less may be met by vectors of any length
+        need = F.when((F.col("reach") > 0) & (F.col("norm") > 0), F.col("reach") / F.col("norm") * (1 - 1e-9)).otherwise(0.0)
+        live = live.withColumns({"need": need, "reach": F.coalesce("reach", F.lit(-math.inf))})
+        live = materialize(live.join(longest, "dim").where("longest >= need").drop("longest"))
+        n = live.count()
+        if not n:
+            if trace is not None:
+                trace.append((here.count(), 0))
+            continue
+        by = [F.col("need"), F.col("rid")]
+        asked = materialize(_blocks(live.repartitionByRange(-(-n // BLOCK), *by).sortWithinPartitions(*by), "need", BLOCK))
+        pairs = materialize(block_pairs(asked, here))
+        if trace is not None:
+            trace.append((here.count(), pairs.select("dim", "block").distinct().count()))
+        left = blocks.join(pairs, ["dim", "block"]).groupBy("dim", "block", "asking")
+        right = asked.withColumnRenamed("block", "asking").join(pairs, ["dim", "asking"]).groupBy("dim", "block", "asking")
+        found = left.cogroup(right).applyInArrow(run, schema)
+        found = found if best is None else found.unionByName(best)
+        best = materialize(found.withColumn("nth", ranked).where(F.col("nth") <= k).drop("nth"))
+    if best is None:
+        best = ints.select(*[F.lit(0).cast("bigint").alias(n) for n in names]).where("false")
+    return best.withColumn("rank", ranked).select("query_id", "rank", "vec_id", "score")
 
 
 def _rotations(blocks: DataFrame) -> dict[int, tuple[np.ndarray, int]]:
-    """For each dimension, the right singular vectors of all candidates and how many of them lead.
+    """For each dimension up to ROTATED, the right singular vectors of all candidates and how many of them lead.
 
     The Gram matrix has dim * dim entries whatever the number of rows; it is summed on the executors.
     """
@@ -238,7 +276,7 @@ def _rotations(blocks: DataFrame) -> dict[int, tuple[np.ndarray, int]]:
         for dim, g in total.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(g.size, dim, np.int32)), pa.array(np.arange(g.size)), pa.array(g.ravel())], ["dim", "at", "v"])
 
-    sums = blocks.where("dim > 0").select("dim", "vecs").mapInArrow(grams, "dim int, at bigint, v double")
+    sums = blocks.where(f"dim > 0 and dim <= {ROTATED}").select("dim", "vecs").mapInArrow(grams, "dim int, at bigint, v double")
     rows = sums.groupBy("dim", "at").agg(F.sum("v").alias("v")).toPandas()
     out: dict[int, tuple[np.ndarray, int]] = {0: (np.zeros((0, 0)), 0)}
     for dim, part in rows.groupby("dim"):

@@ -37,15 +37,28 @@ def test_against_brute_force(spark):
 
 
 def test_many_blocks_agree(spark, monkeypatch):
-    monkeypatch.setattr(K, "BLOCK", 60)
-    monkeypatch.setattr(K, "QUERY_BLOCK", 4)
-    monkeypatch.setattr(K, "HEAD", 7)
+    monkeypatch.setattr(K, "BLOCK", 30)
+    monkeypatch.setattr(K, "GROWTH", 3)
     rng = np.random.default_rng(6)
     rows = [(i, [float(np.float32(c)) for c in v], 0, 0) for i, v in enumerate(rng.normal(0, 1, (700, 6)))]
     rows += rows[:60]  # repeated rows
     assert ask(spark, rows) == brute(rows)
 
 
+def test_pairs_of_blocks_out_of_reach_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK", 20)
+    monkeypatch.setattr(K, "GROWTH", 3)
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (1200, 8)) * np.geomspace(8, 0.01, 1200)[:, None]
+    rows = [(i, [float(np.float32(c)) for c in v], 0, 0) for i, v in enumerate(x)]
+    trace = []
+    d = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in K.exact_topk(d, F.col("vec_id") % 50 == 0, 5, trace).collect())
+    assert got == brute(rows)
+    there, met = (sum(t[i] for t in trace) for i in (0, 1))
+    assert there == 60 and met < 30 and trace[0] == (1, 1), trace
+
+
 def test_large_components_and_empty(spark):
     rows = [(0, [3e16, 1.0], 0, 0), (1, [2e3, 5.0], 0, 0), (2, [-1e10, 2.0], 0, 0)]
     assert [(q, r, v) for q, r, v, _ in ask(spark, rows)] == [(0, 1, 1), (0, 2, 2)]
