@@ -31,6 +31,8 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,10 @@ from lakequill.llm.textscan import U64, Chunk, Words, chunks, mix, ngrams, pack,
 
 WINDOW = 13
 SEED = 7
-AUTOMATON_PHRASES = 30_000
+AUTOMATON_PHRASES = 20_000
+#: Digits that words are written in, and the code points where they begin.
+BASE = 64
+_FIRST, _LATER = 0x100, 0x200
 #: Compressed input bytes for each bucket, and as many shards as buckets.
 BUCKET_BYTES = 2 << 20
 
@@ -198,29 +203,29 @@ def _confirm(table: pa.Table, window: int) -> pa.Table:
 
 def _locate(b: _Bucket, passages: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, last word (exclusive) and smallest doc_id of every occurrence of a passage in the bucket's documents."""
-    number: dict[bytes, int] = {}
-    keys = []
-    for text in passages:
-        # 0 stands for other words, 1 for the end of a document
-        keys.append(tuple([number.setdefault(w, len(number) + 2) for w in text.split(b" ")]))
-    data, offs, stream = b.chunk.buf.tobytes(), b.chunk.offs.tolist(), []
-    for r in range(b.chunk.rows):
-        stream += [number.get(w, 0) for w in data[offs[r] : offs[r + 1]].split()]
-        stream.append(1)
-    sequence = tuple(stream)
+    # a word is written in digits, the first of a kind of its own: places cannot fall inside a word, and a
+    # node has at most BASE successors; one sign stands for all other words, one for the end of a document
+    words = list(dict.fromkeys(w for text in passages for w in text.split(b" ")))
+    width = next(i for i in range(1, 99) if BASE**i >= len(words))
+    first, later = ([chr(at + i) for i in range(BASE)] for at in (_FIRST, _LATER))
+    digits = itertools.product(first, *[later] * (width - 1))
+    code = dict(zip(words, map("".join, digits)))
+    keys = ["".join([code[w] for w in text.split(b" ")]) for text in passages]
+    data, offs = b.chunk.buf.tobytes(), b.chunk.offs.tolist()
+    stream = "\x01".join(["".join([code.get(w, "\x00") for w in data[a:z].split()]) for a, z in zip(offs, offs[1:])])
     found: list[tuple[int, int]] = []
     for k in range(0, len(keys), AUTOMATON_PHRASES):
-        auto = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i, key in enumerate(keys[k : k + AUTOMATON_PHRASES], k):
             auto.add_word(key, i)
         auto.make_automaton()
-        found += auto.iter(sequence)
+        found += auto.iter(stream)
     hits = np.array(found, np.int64).reshape(-1, 2)
-    size, low = np.array([len(k) for k in keys], np.int64), np.array(list(passages.values()), np.int64)
-    first = hits[:, 0] + 1 - size[hits[:, 1]]
-    # each earlier document ends in one more element than it has words
-    first = first - np.searchsorted(b.words.ptr[1:] + np.arange(b.chunk.rows), first)
-    return first, first + size[hits[:, 1]], low[hits[:, 1]]
+    size, low = np.array([len(k) // width for k in keys], np.int64), np.array(list(passages.values()), np.int64)
+    sign = np.frombuffer(stream.encode("utf-32-le"), "<u4")
+    # words up to each match's end
+    last = np.cumsum((sign != 1) & (sign < _LATER))[hits[:, 0]]
+    return last - size[hits[:, 1]], last, low[hits[:, 1]]
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
