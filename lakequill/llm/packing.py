@@ -6,7 +6,8 @@ histogram: first the Martello-Toth reduction fixes pairs that provably dominate
 every other companion of their longer piece, then best fit (longest first)
 packs what is left, always many equal bins at a time. The result is a bounded
 list of patterns with multiplicities. Pieces get a rank among those of their
-length from per-block counts, and the rank finds its slot in the patterns.
+length from counts per block of about `BLOCK_PIECES` pieces, and the rank finds
+its slot in the patterns.
 
 Defined cases: null text counts as empty and is one piece, the end token;
 repeated rows are packed each for itself; other columns are ignored; an empty
@@ -15,6 +16,9 @@ table gives no rows.
 
 from __future__ import annotations
 
+import itertools
+import json
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,94 +33,112 @@ from lakequill.llm.common import materialize
 
 CAPACITY = 1024
 END_ID = 2
-#: About so many pieces share a block when ranks are dealt.
-BLOCK_PIECES = 500
+#: About so many pieces share a block when ranks are dealt: thousands of each length.
+BLOCK_PIECES = 1 << 20
+#: Parts of texts whose ids a worker remembers.
+MEMORY = 200_000
+#: Below this character the two libraries know the same letters, digits and blanks (a test holds them to it).
+_KNOWN = "\u0250"
 
-_LOADED: dict[tuple, object] = {}
+_LOADED: dict[str, Encoder] = {}
 
 
-def default_vocabulary() -> tuple[str, str]:
+def default_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 class Encoder:
-    """ids of texts under a tokenizers file; strings of special tokens are ordinary text.
+    """ids of texts by `tokenizers`; strings of special tokens are ordinary text.
 
-    Given the same vocabulary as ranks, texts whose characters all lie below U+0250 take a faster
-    encoder with the same merges; a test holds both to the same ids there.
+    A byte-level vocabulary never merges across the parts that its pattern cuts a text into (blanks,
+    words, digits, marks). Parts repeat, so texts of plain characters are cut here and the ids of
+    each distinct part are asked for once; all other texts go to the tokenizer as they are.
     """
 
-    def __init__(self, vocabulary: str, ranks: str | None):
-        self.vocabulary = vocabulary
-        self._slow = None
-        self.fast = None
-        if ranks:
-            import base64
-
-            import public_tokenizers
-            import tiktoken
-
-            with open(ranks, "rb") as f:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-
-    @property
-    def slow(self):
-        """Loaded when a text first needs it: both encoders at once are a worker's largest objects."""
-        if self._slow is None:
-            from tokenizers import Tokenizer
-
-            self._slow = Tokenizer.from_file(self.vocabulary)
-            self._slow.encode_special_tokens = True
-        return self._slow
-
-    def __call__(self, text: str) -> list[int]:
-        if self.fast is not None and (text.isascii() or max(text) < "ɐ"):
-            return self.fast.encode_ordinary(text)
-        return self.slow.encode(text, add_special_tokens=False).ids
-
-
-def encoder(vocabulary: str, ranks: str | None) -> Encoder:
-    key = (vocabulary, ranks)
-    if key not in _LOADED:
-        _LOADED[key] = Encoder(vocabulary, ranks)
-    return _LOADED[key]  # type: ignore[return-value]
-
-
-def token_pieces(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    #: Fixed pattern of byte-level pre-tokenization.
+    PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+    def __init__(self, vocabulary: str):
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer.encode_special_tokens = True
+        with open(vocabulary, encoding="utf-8") as f:
+            kind = json.load(f)
+        before = kind["pre_tokenizer"] or {}
+        self.parted = kind["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        self.parts = regex.compile(self.PARTS).findall
+        self.known: dict[str, list[int]] = {}
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        out: list[list[int] | None] = [None] * len(texts)
+        cut, whole = [], []
+        for i, text in enumerate(texts):
+            if self.parted and (text.isascii() or max(text) < _KNOWN):
+                cut.append((i, self.parts(text)))
+            else:
+                whole.append(i)
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
+            out[i] = ids
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        known = self.known
+        fresh = list({p for _, parts in cut for p in parts if p not in known})
+        known.update(zip(fresh, self._ids(fresh)))
+        for i, parts in cut:
+            out[i] = list(itertools.chain.from_iterable(map(known.__getitem__, parts)))
+        return out  # type: ignore[return-value]
+
+
+def encoder(vocabulary: str) -> Encoder:
+    if vocabulary not in _LOADED:
+        _LOADED[vocabulary] = Encoder(vocabulary)
+    return _LOADED[vocabulary]
+
+
+def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids, ended by `end_id`, cut where longer than `capacity`."""
-    if vocabulary is None:
-        vocabulary, ranks = default_vocabulary()
+    vocabulary = vocabulary or default_vocabulary()
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)])
     schema = schema.add("piece", T.IntegerType())
     for c in ("start", "length", "ids_crc32"):
         schema = schema.add(c, T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, ranks)
+        # one thread for each task: the scheduler counts on it
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encode = encoder(vocabulary)
         for b in batches:
-            rows, piece, start, length, crc = [], [], [], [], []
-            for r, text in enumerate(b.column(1)):
-                ids = encode(text.as_py() or "")
-                ids.append(end_id)
-                data = np.array(ids, "<u4")
-                at, first = 0, len(ids) % capacity or capacity
-                for p in range(-(-len(ids) // capacity)):
-                    n = capacity if p else first
-                    rows.append(r)
-                    piece.append(p)
-                    start.append(at)
-                    length.append(n)
-                    crc.append(zlib.crc32(data[at : at + n].tobytes()))
-                    at += n
-            cols = [pa.array(x, pa.int32() if i == 0 else pa.int64()) for i, x in enumerate((piece, start, length, crc))]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *cols], schema.names)
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for at in range(0, len(texts), 256):
+                ids = encode(texts[at : at + 256])
+                yield _pieces(b.column(0).slice(at, len(ids)), ids, capacity, end_id, schema.names)
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def _pieces(doc: pa.Array, ids: list[list[int]], capacity: int, end_id: int, names: list[str]) -> pa.RecordBatch:
+    """The pieces of documents: the first is the shorter one where a document is cut."""
+    size = np.array([len(x) + 1 for x in ids], np.int64)
+    flat = np.fromiter(itertools.chain.from_iterable(itertools.chain(x, (end_id,)) for x in ids), "<u4", int(size.sum()))
+    each = -(-size // capacity)
+    row = np.repeat(np.arange(len(size)), each)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+    short = size - (each - 1) * capacity
+    length = np.where(piece > 0, capacity, short[row])
+    start = np.where(piece > 0, short[row] + (piece - 1) * capacity, 0)
+    at = start + (np.cumsum(size) - size)[row]
+    crc = [zlib.crc32(flat[a:z]) for a, z in zip(at.tolist(), (at + length).tolist())]
+    cols = [pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+    return pa.RecordBatch.from_arrays([doc.take(pa.array(row)), *cols], names)
+
+
 @dataclass
 class Pattern:
     lengths: tuple[int, ...]
@@ -237,25 +259,29 @@ def slots(patterns: list[Pattern], capacity: int) -> tuple[np.ndarray, ...]:
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces with sequence_id and offset. `pieces` is read several times: give a written table."""
+    """pieces with sequence_id and offset. The pieces are written once, numbered, and read for each use."""
+    names = pieces.columns
+    row, block, nth, first, rank = (f"{x}_{'_'.join(names)}" for x in ("row", "block", "nth", "first", "rank"))
+    pieces = materialize(pieces.withColumn(row, F.monotonically_increasing_id()))
     # a full piece is a sequence by itself and needs no rank
     full = pieces.where(F.col("length") >= capacity)
-    full = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")})
+    full = full.withColumns({"sequence_id": -1 - F.col(row), "offset": F.lit(0).cast("bigint")})
     rest = pieces.where(F.col("length") < capacity)
     counts = np.zeros(capacity + 1, np.int64)
     for size, n in rest.groupBy("length").count().toPandas().itertuples(index=False):
         counts[size] = n
     keys, seqs, offs = slots(solve(counts, capacity), capacity)
     blocks = max(1, -(-int(counts.sum()) // BLOCK_PIECES))
-    rest = rest.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int"))
-    cells = rest.groupBy("length", "_block").count()
-    before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("length", "_block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_from"))
-    within = Window.partitionBy("length", "_block").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = rest.withColumn("_nth", F.row_number().over(within) - 1).join(cells, ["length", "_block"])
-    ranked = ranked.select(*pieces.columns, (F.col("_from") + F.col("_nth")).alias("_rank"))
-    schema = T.StructType(list(pieces.schema.fields)).add("sequence_id", T.LongType()).add("offset", T.LongType())
-    at = pieces.columns.index("length")
+    # blocks by row number, so that repeated rows are spread like others
+    rest = rest.withColumn(block, F.pmod(F.xxhash64(row), F.lit(blocks)).cast("int"))
+    cells = rest.groupBy("length", block).agg(F.count("*").alias(nth))
+    before = Window.partitionBy("length").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("length", block, F.coalesce(F.sum(nth).over(before), F.lit(0)).alias(first))
+    within = Window.partitionBy("length", block).orderBy(row)
+    ranked = rest.withColumn(nth, F.row_number().over(within) - 1).join(cells, ["length", block])
+    ranked = ranked.select(*names, (F.col(first) + F.col(nth)).alias(rank))
+    schema = T.StructType([pieces.schema[c] for c in names]).add("sequence_id", T.LongType()).add("offset", T.LongType())
+    at = names.index("length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,9 +293,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return full.select(*schema.names).unionByName(ranked.mapInArrow(run, schema))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of `docs`."""
-    return pack_pieces(materialize(token_pieces(docs, vocabulary, ranks, capacity, end_id)), capacity)
+    return pack_pieces(token_pieces(docs, vocabulary, capacity, end_id), capacity)
 
 
 def op5(docs: DataFrame) -> DataFrame:

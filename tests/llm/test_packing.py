@@ -9,20 +9,24 @@ from lakequill.llm import packing as P
 from tests.llm.fixtures import awkward_texts, docs, empty
 
 
-def test_fast_encoder_gives_the_same_ids():
-    vocabulary, ranks = P.default_vocabulary()
-    e = P.Encoder(vocabulary, ranks)
-    slow = lambda t: e.slow.encode(t, add_special_tokens=False).ids
+def test_parts_give_the_ids_of_whole_texts():
+    e = P.Encoder(P.default_vocabulary())
+    assert e.parted
     rng = random.Random(1)
     low = [chr(c) for c in range(0x250)]
-    for c in low:
-        for t in (c, f"a{c}", f"{c}a", f" {c} b", f"{c}{c}", f"1{c}\n", f"\n{c}", f"x {c}  {c}'s"):
-            assert e.fast.encode_ordinary(t) == slow(t), (hex(ord(c)), t)
-    for _ in range(3000):
-        t = "".join(rng.choices(low, k=rng.randint(1, 40)))
-        assert e.fast.encode_ordinary(t) == slow(t), t
-    t = "a <|endoftext|> b"
-    assert e.fast.encode_ordinary(t) == slow(t)
+    texts = [t for c in low for t in (c, f"a{c}", f"{c}a", f" {c} b", f"{c}{c}", f"1{c}\n", f"\n{c}", f"x {c}  {c}'s")]
+    texts += ["".join(rng.choices(low, k=rng.randint(1, 40))) for _ in range(3000)]
+    texts += ["a <|endoftext|> b", "", "日本 é", " " * 5000 + "x", "z" * 5000]
+    assert e(texts) == e._ids(texts)
+    assert e.known
+
+
+def test_very_long_runs(spark):
+    texts = [" " * 1_000_000, "a" * 300_000, "\n" * 200_000 + "x", "!" * 300_000, "7" * 300_000]
+    tk = Tokenizer.from_file(P.default_vocabulary())
+    want = [len(tk.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+    got = P.op5(docs(spark, texts)).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in got} == dict(enumerate(want))
 
 
 def check_bins(counts, patterns, capacity):
@@ -78,7 +82,7 @@ def test_whole_query(spark):
     texts = awkward_texts() + ["abc def " * 3000, "é" * 1500, "x", "<|endoftext|>", "日本語 " * 900]
     d = docs(spark, texts)
     rows = [r.asDict() for r in P.op5(d).collect()]
-    tk = Tokenizer.from_file(P.default_vocabulary()[0])
+    tk = Tokenizer.from_file(P.default_vocabulary())
     tk.encode_special_tokens = True
     by_doc = {k: sorted(v, key=lambda r: r["piece"]) for k, v in groupby(sorted(rows, key=lambda r: r["doc_id"]), key=lambda r: r["doc_id"])}
     assert sorted(by_doc) == list(range(len(texts)))
@@ -100,6 +104,17 @@ def test_whole_query(spark):
     assert n <= -(-sum(r["length"] for r in rows) // 1024) + 1
 
 
+def test_ranks_from_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK_PIECES", 7)
+    rows = P.op5(docs(spark, ["a b c"] * 60 + ["x"] * 30)).collect()
+    taken = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    ends = {}
+    for seq, at, n in taken:
+        assert ends.get(seq, 0) == at
+        ends[seq] = at + n
+    assert len(taken) == 90
+
+
 def test_repeats_and_empty(spark):
     d = docs(spark, ["a b c"] * 30, [5] * 15 + [None] * 15)
     rows = P.op5(d).collect()
