@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,13 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing, as in tests on one machine, a local folder is used.
+    Only on one machine, as in tests, a local folder takes the place of a missing setting.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import os
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{root.rstrip('/')}/lq-{uuid.uuid4().hex}"
 
@@ -49,3 +50,25 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     """crc32 of the id as text, modulo `mod`, equals `rest` (null ids: the empty text)."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))
     return F.crc32(text.cast("binary")) % F.lit(mod) == F.lit(rest)
+
+
+#: Rows that a side of a join may have to be sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, a written table of narrow rows, marked for broadcast if it is counted to have at most `rows`."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def lowest(df: DataFrame, key: Column, limit: int) -> DataFrame:
+    """About `limit` rows at most: those with the smallest `key`, a 64-bit hash.
+
+    The hash range that holds them follows from a count, so that tasks send what is needed and not
+    `limit` rows each.
+    """
+    n = df.count()
+    if n <= limit:
+        return df
+    share = min(1.0, (limit + 8 * math.sqrt(limit)) / n)
+    return df.where(key <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)).orderBy(key).limit(limit)

@@ -1,20 +1,22 @@
 """Secret scan over a trigram inverted index, in DataFrame expressions only.
 
 Each rule's regex is turned, on the driver and once, into a Boolean query over
-trigrams that every match must contain. The index holds one posting per
-(trigram, document) for the trigrams that some query names; postings of a
-document are combined into a bit set, which intersects and unites them as each
-rule's query says. Only documents that satisfy a rule's query are verified
-with that rule's regex. A rule without a mandatory trigram scans all documents.
+trigrams that every match must contain. The index holds, for each block of
+documents and each trigram that some query names, the posting list of the
+documents that contain it; a document is a hash of its id and text. A rule's
+query is evaluated on posting lists: `and` intersects them, `or` unites them.
+Only documents in a rule's list are verified with that rule's regex, and a rule
+without a mandatory trigram scans all documents. Texts are not shuffled unless
+the candidates are too many to be sent to every executor.
 
 Spans come from the regex itself: the pieces between matches (`split`) and the
 matches (`regexp_extract_all`) alternate, so running lengths give offsets in
 code points.
 
 Defined cases: null text counts as empty (no spans); null and repeated doc_ids
-are allowed, rows that share one share their postings and are verified each
-for itself; other columns are kept by `redact` and ignored by `scan_secrets`;
-empty tables give no rows.
+are allowed, rows that share id and text share their postings; other columns,
+whatever their names, are kept by `redact` and ignored by `scan_secrets`; empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,11 +24,14 @@ from __future__ import annotations
 import re._constants as rc
 import re._parser as rp
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakequill.llm.common import materialize, parts_for, small_or_shuffled
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -155,47 +160,48 @@ def trigrams(query: Query) -> list[str]:
 # --- index
 
 
-def _bit(n: int) -> tuple[int, int]:
-    return n // 62, 1 << (n % 62)
+#: Input bytes of the documents that share posting lists.
+BLOCK_BYTES = 8 << 20
+
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """row (all columns of `docs`), text (null: empty) and key, the document in posting lists."""
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return docs.select(row, text.alias("text"), F.xxhash64(docs["doc_id"], text).alias("key"))
 
-def postings(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, trigram number): the inverted index for the given trigrams."""
+
+def posting_lists(rows: DataFrame, terms: list[str], blocks: int) -> DataFrame:
+    """(block, term, keys): the inverted index of `rows` for the given trigrams, by their number."""
     # a column of its own: inside the tests below it would be lowered again for each trigram
-    low = docs.select("doc_id", F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("low"))
+    low = rows.select("key", F.lower("text").alias("low"))
     hits = F.array(*[F.when(F.col("low").contains(t), F.lit(i)) for i, t in enumerate(terms)])
-    return low.select("doc_id", F.explode(F.array_compact(hits)).alias("term"))
+    posts = low.select("key", F.explode(F.array_compact(hits)).alias("term"))
+    block = F.pmod("key", F.lit(blocks)).cast("int")
+    return posts.groupBy(block.alias("block"), "term").agg(F.collect_set("key").alias("keys"))
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id and one Boolean column per rule that has a trigram query."""
-    queries = {r.kind: trigram_query(r.regex) for r in rules}
-    terms = list(dict.fromkeys(t for q in queries.values() for t in trigrams(q)))
+def candidates(rows: DataFrame, rules: tuple[Rule, ...], blocks: int) -> DataFrame:
+    """(key, may): documents in the posting list of some rule, with a bit for each such rule."""
+    queries = [trigram_query(r.regex) for r in rules]
+    terms = list(dict.fromkeys(t for q in queries for t in trigrams(q)))
     number = {t: i for i, t in enumerate(terms)}
-    words = -(-len(terms) // 62)
-    posts = postings(docs, terms)
-    sets = [
-        F.bit_or(F.when(F.floor(F.col("term") / 62) == w, F.expr("shiftleft(1L, cast(term % 62 as int))")).otherwise(F.lit(0).cast("bigint"))).alias(f"b{w}")
-        for w in range(words)
-    ]
-    bits = posts.groupBy("doc_id").agg(*sets)
+    index = posting_lists(rows, terms, blocks)
+    lists = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("term", "keys"))).alias("lists"))
 
     def holds(q: Query) -> Column:
         if q[0] == "tri":
-            w, mask = _bit(number[q[1]])
-            return F.col(f"b{w}").bitwiseAND(F.lit(mask)) != 0
-        parts = [holds(x) for x in q[1]]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out & p if q[0] == "and" else out | p
-        return out
-
-    known = [k for k, q in queries.items() if q is not None]
-    found = bits.select("doc_id", *[holds(queries[k]).alias(f"may_{k}") for k in known])
-    some = F.lit(False)
-    for k in known:
-        some = some | F.col(f"may_{k}")
-    return found.where(some)
+            return F.coalesce(F.try_element_at("lists", F.lit(number[q[1]])), F.array().cast("array<bigint>"))
+        return reduce(F.array_intersect if q[0] == "and" else F.array_union, [holds(x) for x in q[1]])
+
+    def marked(i: int, q: Query) -> Column:
+        return F.transform(holds(q), lambda k: F.struct(k.alias("key"), F.lit(1 << i).cast("bigint").alias("may")))
+
+    found = [marked(i, q) for i, q in enumerate(queries) if q is not None]
+    if not found:
+        return rows.select("key", F.lit(0).cast("bigint").alias("may")).where("false")
+    each = lists.select(F.explode(F.concat(*found)).alias("hit")).select("hit.*")
+    return each.groupBy("key").agg(F.bit_or("may").alias("may"))
 
 
 # --- verification
@@ -226,28 +232,26 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return F.coalesce(F.aggregate(steps, start, add)["out"], F.array().cast(_SPAN))
 
 
-def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, column: str = "spans") -> DataFrame:
-    """docs and `column`: all verified spans (start, ord, kind, end), by start, then rule order."""
-    names = docs.columns
-    ids = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    may = candidates(ids, rules).withColumnRenamed("doc_id", "_may_id")
-    rows = docs.join(may, docs["doc_id"].eqNullSafe(may["_may_id"]), "left")
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    found = []
+def _found(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """row, text and spans: all verified spans (start, ord, kind, end), by start, then rule order."""
+    rows = keyed(docs)
+    may = materialize(candidates(rows, rules, parts_for(docs, BLOCK_BYTES, least=1)))
+    rows = rows.join(small_or_shuffled(may), "key", "left")
+    text, found = F.col("text"), []
     for i, r in enumerate(rules):
-        if f"may_{r.kind}" in may.columns:
-            check = F.coalesce(F.col(f"may_{r.kind}"), F.lit(False))
+        if trigram_query(r.regex) is not None:
+            check = F.coalesce(F.col("may").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(False))
         elif r.kind == "hex":
             check = text.rlike(r"[0-9a-f]{%d}" % r.least)
         else:
             check = F.lit(True)
         found.append(F.when(check, _spans(text, r, i)).otherwise(F.array().cast(_SPAN)))
-    return rows.select(*[docs[c] for c in names], F.array_sort(F.concat(*found)).alias(column))
+    return rows.select("row", "text", F.array_sort(F.concat(*found)).alias("spans"))
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and spans of each row."""
-    return with_spans(docs.select("doc_id", "text"), rules).select("doc_id", "spans")
+    return _found(docs.select("doc_id", "text"), rules).select("row.doc_id", "spans")
 
 
 def _line(spans: Column) -> Column:
@@ -267,7 +271,7 @@ def op3(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every found span replaced by `[secret]` (overlapping spans by one), n_chars brought up to date."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.col("text")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def cut(acc: Column, s: Column) -> Column:
@@ -278,12 +282,16 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             F.when(fresh, F.concat(acc["out"], piece, F.lit("[secret]"))).otherwise(acc["out"]).alias("out"),
         )
 
-    done = F.aggregate("_spans", start, cut, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2147483647))))
-    rows = with_spans(docs, rules, "_spans").withColumn("text", F.when(F.size("_spans") == 0, F.col("text")).otherwise(done))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return rows.select(*docs.columns)
+    done = F.aggregate("spans", start, cut, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2147483647))))
+    clean = F.size("spans") == 0
+    rows = _found(docs, rules).select("row", clean.alias("clean"), F.when(~clean, done).alias("done"))
+
+    def column(c: str) -> Column:
+        old, kind = F.col("row").getField(c), docs.schema[c].dataType
+        new = {"text": F.col("done"), "n_chars": F.length("done")}.get(c)
+        return (old if new is None else F.when(F.col("clean"), old).otherwise(new.cast(kind))).alias(c)
+
+    return rows.select(*[column(c) for c in docs.columns])
 
 
 def _sql() -> str:

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from lakequill.llm import secrets as S
 from tests.llm.fixtures import awkward_texts, docs, empty
 
@@ -54,3 +56,44 @@ def test_native_plan_repeats_and_redaction(spark):
     plan = S.op3(d)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
     assert S.op3(empty(spark)).count() == 0
+
+
+def test_posting_lists_and_both_joins(spark, monkeypatch):
+    d = docs(spark, TEXTS)
+    rows = S.keyed(d)
+    lists = {(r.block, r.term): set(r["keys"]) for r in S.posting_lists(rows, ["sec", "tok"], 3).collect()}
+    for n, tri in enumerate(("sec", "tok")):
+        want = {r.key for r in rows.collect() if tri in r.text.lower()}
+        assert want == set().union(*(v for (_, t), v in lists.items() if t == n)) and want
+        assert all(k % 3 == b for (b, t), v in lists.items() for k in v)
+    may = {r.key: r.may for r in S.candidates(rows, S.RULES, 3).collect()}
+    for r in rows.collect():
+        bits = sum(1 << i for i, x in enumerate(S.RULES) if S.trigram_query(x.regex) and holds(S.trigram_query(x.regex), r.text.lower()))
+        assert may.get(r.key, 0) == bits
+    one = sorted(map(str, S.op3(d).collect()))
+    monkeypatch.setattr(S, "small_or_shuffled", lambda df: df)
+    assert sorted(map(str, S.op3(d).collect())) == one
+
+
+def holds(query, text):
+    if query[0] == "tri":
+        return query[1] in text
+    return (all if query[0] == "and" else any)(holds(q, text) for q in query[1])
+
+
+def test_clashing_columns(spark):
+    names = ["_spans", "spans", "may_assign", "may", "key", "row", "clean", "done", "_id"]
+    d = docs(spark, ["secret=abcdefghijklmnop", "no", None], [1, 2, None])
+    for c in names:
+        d = d.withColumn(c, F.lit(c))
+    out = S.redact(d)
+    assert out.columns == d.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[1].text == "[secret]" and all(got[1][c] == c for c in names) and got[None].text is None
+    assert S.op3(d).count() == 3
+
+
+def test_very_long_texts(spark):
+    texts = ["a" * 1_000_000, " " * 1_000_000, "z" * 1_000_000 + " token=" + "Q" * 400_000]
+    rows = {r.doc_id: r for r in S.op3(docs(spark, texts)).collect()}
+    assert rows[0].spans == "hex:0:1000000" and rows[1].spans == "" and rows[2].spans == "assign:1000001:1400007"
