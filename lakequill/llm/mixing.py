@@ -22,15 +22,16 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakequill.llm.common import materialize
+from lakequill.llm.common import materialize, small_or_shuffled
 from lakequill.llm.textscan import chunks, mix
 
 WEIGHTS = (3, 1, 2)
@@ -154,8 +155,6 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float
         split = materialize(split)
         done.append(split.where("x = 0 or x = 1"))
         open_ = split.where("x > 0 and x < 1")
-        if level:
-            groups = ["source", "no_source", "block"]
         n = -(-n // FAN_IN)
         open_ = open_.withColumn("block", F.floor(F.col("block") / FAN_IN))
         groups = ["source", "no_source", "block"]
@@ -181,30 +180,43 @@ def op4(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it.
 
-    Rows and decisions meet by doc_id and size; where several rows share both, the n-th row gets
-    the n-th decision.
+    Rows and decisions meet by doc_id, source and size; only where several rows share all three are
+    they numbered, and the n-th row gets the n-th decision.
     """
     names = docs.columns
-    decided = mix_sources(docs, **how).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "source", "copies")
-    nth = Window.partitionBy("_id", "_source", "_size")
-    decided = decided.withColumnRenamed("source", "_source")
-    decided = decided.withColumn("_nth", F.row_number().over(nth.orderBy("copies")))
-    rows = _with_size(docs).withColumns({"_id": F.col("doc_id"), "_source": F.col("source")})
-    rows = rows.withColumn("_nth", F.row_number().over(nth.orderBy("text")))
-    same = (rows["_id"].eqNullSafe(decided["_id"])) & (rows["_size"] == decided["_size"]) & rows["_source"].eqNullSafe(decided["_source"]) & (rows["_nth"] == decided["_nth"])
-    taken = rows.join(decided.where("copies > 0"), same)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    key = ["doc_id", "source", "size"]
+    decided = materialize(mix_sources(docs, **how).select(*key, "copies"))
+    per = materialize(decided.groupBy(*key).agg(F.count("*").alias("n"), F.sum("copies").alias("copies")))
+    once = per.where("n > 1 or copies > 0").select(*[F.col(c).alias(f"k_{c}") for c in key], "n", "copies")
+    rows = _with_size(docs)
+
+    def same(other: DataFrame) -> Column:
+        return reduce(lambda a, b: a & b, [rows[c].eqNullSafe(other[f"k_{c}"]) for c in key])
+
+    taken = rows.join(small_or_shuffled(once), same(once)).select("row", *key, "n", "copies")
+    single = taken.where("n = 1").select("row", "copies")
+    again = per.where("n > 1").select(*key)
+    if not again.isEmpty():
+        nth = Window.partitionBy(*key)
+        many = taken.where("n > 1").select("row", *key).withColumn("nth", F.row_number().over(nth.orderBy("row.text")))
+        each = decided.join(again.select(*[F.col(c).alias(f"k_{c}") for c in key]), reduce(lambda a, b: a & b, [decided[c].eqNullSafe(F.col(f"k_{c}")) for c in key]), "left_semi")
+        each = each.withColumn("nth", F.row_number().over(nth.orderBy("copies"))).select(*[F.col(c).alias(f"k_{c}") for c in key], F.col("nth").alias("k_nth"), "copies")
+        on = reduce(lambda a, b: a & b, [many[c].eqNullSafe(each[f"k_{c}"]) for c in [*key, "nth"]])
+        single = single.unionByName(many.join(each.where("copies > 0"), on).select("row", "copies"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return single.where("copies > 0").select("row", copies.alias("copy")).select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
 def _with_size(docs: DataFrame) -> DataFrame:
-    """docs and `_size`, the number of words."""
-    schema = T.StructType(list(docs.schema.fields)).add("_size", T.LongType())
-    at = docs.columns.index("text")
+    """row (all columns of `docs`), doc_id, source and size, the number of words."""
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows = docs.select(row, docs["text"].cast("string").alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("size", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [c.words().counts() for c in chunks(b.column(at))]
+            n = [c.words().counts() for c in chunks(b.column(1))]
             n = np.concatenate(n) if n else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n.astype(np.int64))], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64))], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select("row", "row.doc_id", "row.source", "size")

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lakequill.llm import mixing as M
 from tests.llm.fixtures import DOCS, awkward_texts, docs, empty
@@ -72,3 +73,17 @@ def test_repeated_rows_and_copies(spark):
     assert out.columns == d.columns
     assert out.count() == sum(r.copies for r in M.op4(d).collect())
     assert M.op4(empty(spark)).count() == 0 and M.mixed_documents(empty(spark)).count() == 0
+
+
+def test_clashing_columns_and_both_joins(spark, monkeypatch):
+    names = ["_id", "_size", "_source", "_nth", "copies", "size", "row", "n", "k_size", "k_doc_id", "copy", "target"]
+    d = docs(spark, ["a b c"] * 6 + ["a b c d", "x", None] * 3, [7] * 6 + list(range(20, 28)) + [None])
+    for c in names:
+        d = d.withColumn(c, F.lit(c))
+    out = M.mixed_documents(d)
+    assert out.columns == d.columns and out.count() == sum(r.copies for r in M.op4(d).collect())
+    assert all(r[c] == c for r in out.collect() for c in names)
+    one = sorted(map(str, out.collect()))
+    monkeypatch.setattr(M, "small_or_shuffled", lambda df: df)
+    assert sorted(map(str, M.mixed_documents(d).collect())) == one
+    assert sum(r.size for r in M.op4(docs(spark, ["a" * 1_000_000, " " * 1_000_000, "b " * 500_000])).collect()) == 500_001
