@@ -1,22 +1,21 @@
 """Rule statistics of whole texts and an isolation forest over them.
 
-The forest is fitted on a bounded sample of labelled rows (`SAMPLE_ROWS`); its
-verdict threshold is calibrated on all labelled rows. It sees how far each
-statistic lies outside the range that good documents keep to, so that ordinary
-documents look alike and random splits isolate the others after few steps. Bad
-documents make up `BAD_SHARE` of what it grows on: anomalies must be rare there,
-however common they are in the corpus.
+Trees are grown on the statistics themselves, on a bounded sample of labelled
+rows (`SAMPLE_ROWS`) taken without regard to their labels. They come in groups:
+one for each statistic, whose trees split that statistic at random points, and
+one whose trees split all of them. A document's score in a group follows from
+its mean path length there; each group has a threshold of its own, calibrated
+on all labelled rows, and a document that reaches one is anomalous.
 
 Defined cases: null text counts as empty; an empty or very short text fails the
 base rule; every row gets one output row, repeated rows alike; without labelled
-rows of good quality the forest rejects nothing; labels for one doc_id that
+rows of both kinds the forest rejects nothing; labels for one doc_id that
 repeat count by their largest value; clashing column names of the input are
 ignored by the statistics and kept by `filter_documents`.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,18 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakequill.llm.common import materialize
+from lakequill.llm.common import lowest, materialize
 from lakequill.llm.textscan import BLANKS, Chunk, chunks, mix, ngrams, second_base, separators, span_hash
 
 SYMBOLS = separators("#*$%&|<>")
 #: Bound on the labelled rows that the forest's trees draw from.
 SAMPLE_ROWS = 8192
-TREES = 100
-TREE_ROWS = 256
-#: Share of bad rows among those that the trees draw from.
-BAD_SHARE = 0.02
-#: Share of good rows that may lie beyond either end of a statistic's range.
-EDGE = 0.001
+#: Trees in each group, and the rows that each isolates: few, so that frequent junk does not hide itself.
+TREES = 50
+TREE_ROWS = 64
 #: Share of labelled good documents that the calibrated threshold may reject.
 GOOD_LOSS = 0.002
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -158,61 +154,72 @@ def rule_stats(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Forest:
-    """Trees as flat arrays of equal length; threshold: scores at or above it are anomalous.
+    """Trees as flat arrays of equal length; `group` numbers the group of each tree.
 
-    low and high: the range of each statistic; the trees see the distance from it, in widths of the range.
+    threshold: scores at or above it are anomalous, for each group.
     """
 
     feature: np.ndarray
     split: np.ndarray
     child: np.ndarray
     length: np.ndarray
+    group: np.ndarray
     norm: float
     depth: int
-    threshold: float = np.inf
-    low: np.ndarray | None = None
-    high: np.ndarray | None = None
-
-    def outside(self, x: np.ndarray) -> np.ndarray:
-        if self.low is None:
-            return x
-        width = np.maximum(self.high - self.low, 0.05)
-        return np.minimum(np.maximum(np.maximum(x - self.high, self.low - x), 0) / width, 1)
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """2 ** (-mean path length / expected path length), in (0, 1)."""
-        x = self.outside(x)
-        if not len(x) or not len(self.feature):
-            return np.zeros(len(x))
-        total, rows = np.zeros(len(x)), np.arange(len(x))
-        for t in range(len(self.feature)):
+    threshold: np.ndarray
+
+    def paths(self, x: np.ndarray) -> np.ndarray:
+        """Mean path length of each row in each group."""
+        total, rows = np.zeros((len(x), len(self.threshold))), np.arange(len(x))
+        for t, g in enumerate(self.group):
             node = np.zeros(len(x), np.int64)
             for _ in range(self.depth):
                 right = x[rows, self.feature[t, node]] >= self.split[t, node]
                 node = self.child[t, node] + right * (self.child[t, node] != node)
-            total += self.length[t, node]
-        return 2.0 ** (-total / len(self.feature) / self.norm)
+            total[:, g] += self.length[t, node]
+        return total / np.maximum(np.bincount(self.group, minlength=len(self.threshold)), 1)
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """2 ** (-mean path length / expected path length), in (0, 1), of each row in each group."""
+        if not len(x) or not len(self.group):
+            return np.zeros((len(x), len(self.threshold)))
+        return 2.0 ** (-self.paths(x) / self.norm)
+
+    def anomaly(self, x: np.ndarray) -> np.ndarray:
+        """How far the score lies above its threshold in the group where it is highest; from 0 on a row is anomalous."""
+        return np.maximum(self.scores(x) - self.threshold, -1).max(1) if len(self.threshold) else np.full(len(x), -1.0)
 
 
-def _average_path(n: float) -> float:
-    return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
+def _average_path(n: int) -> float:
+    """Mean depth of a row in a random tree that isolates n rows."""
+    return 0.0 if n < 2 else 2 * sum(1 / k for k in range(1, n)) - 2 * (n - 1) / n
 
 
-def grow_forest(x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 7) -> Forest:
+def statistic_groups(width: int) -> list[list[int]]:
+    """Each statistic for itself, then all together."""
+    return [[j] for j in range(width)] + [list(range(width))] * (width > 1)
+
+
+def grow_forest(x: np.ndarray, groups: list[list[int]], trees: int = TREES, rows: int = TREE_ROWS, seed: int = 7, drawn: list | None = None) -> Forest:
+    """`trees` trees for each group of statistics; `drawn` takes the rows that each tree isolates."""
     rng = np.random.default_rng(seed)
     rows = min(rows, len(x))
     depth = max(1, int(np.ceil(np.log2(max(rows, 2)))))
     room = 2 ** (depth + 1)
-    shape = (trees if rows >= 2 else 0, room)
+    group = np.repeat(np.arange(len(groups)), trees if rows >= 2 else 0)
+    shape = (len(group), room)
     feature, split = np.zeros(shape, np.int64), np.full(shape, np.inf)
     child, length = np.tile(np.arange(room), (shape[0], 1)), np.zeros(shape)
-    for t in range(shape[0]):
-        used, todo = 1, [(0, x[rng.choice(len(x), rows, replace=False)], 0)]
+    for t, g in enumerate(group):
+        sample = x[rng.choice(len(x), rows, replace=False)]
+        if drawn is not None:
+            drawn.append(sample)
+        used, todo = 1, [(0, sample, 0)]
         while todo:
             node, part, level = todo.pop()
             low, high = part.min(0), part.max(0)
-            open_ = np.flatnonzero(high > low)
-            if level == depth or len(part) < 2 or not len(open_):
+            open_ = [j for j in groups[g] if high[j] > low[j]]
+            if level == depth or len(part) < 2 or not open_:
                 length[t, node] = level + _average_path(len(part))
                 continue
             f = rng.choice(open_)
@@ -220,18 +227,21 @@ def grow_forest(x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed:
             child[t, node], used = used, used + 2
             right = part[:, f] >= split[t, node]
             todo += [(used - 2, part[~right], level + 1), (used - 1, part[right], level + 1)]
-    return Forest(feature, split, child, length, max(_average_path(rows), 1e-9), depth)
+    return Forest(feature, split, child, length, group, max(_average_path(rows), 1e-9), depth, np.full(len(groups), np.inf))
+
+
+def _features(batch: pa.RecordBatch, at: list[int]) -> np.ndarray:
+    return np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in at])
 
 
 def score_stats(stats: DataFrame, forest: Forest) -> DataFrame:
-    """stats and `anomaly`, the forest's score."""
+    """stats and `anomaly`; from 0 on a row is anomalous."""
     schema = T.StructType(list(stats.schema.fields)).add("anomaly", T.DoubleType())
     at = [stats.columns.index(c) for c in FEATURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in at])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forest.score(x))], schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forest.anomaly(_features(b, at)))], schema.names)
 
     return stats.mapInArrow(run, schema)
 
@@ -240,42 +250,59 @@ def base_failed(n_words="n_words", n_repeat="n_repeat_words"):
     return (F.col(n_words) < 10) | (100 * F.col(n_repeat) > 20 * F.col(n_words))
 
 
+#: Steps of the score in which thresholds are sought.
+BINS = 2000
+
+
+def _tally(known: DataFrame, forest: Forest) -> np.ndarray:
+    """How many good (0) and bad (1) rows fall into each bin of each group's score: counts[kind, group, bin]."""
+    groups = len(forest.threshold)
+    at = [known.columns.index(c) for c in FEATURES]
+    mark = known.columns.index("quality")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, groups, BINS), np.int64)
+        for b in batches:
+            bad = (b.column(mark).to_numpy(zero_copy_only=False) <= 0).astype(np.int64)
+            bins = np.minimum((forest.scores(_features(b, at)) * BINS).astype(np.int64), BINS - 1)
+            for g in range(groups):
+                np.add.at(counts, (bad, g, bins[:, g]), 1)
+        cell = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(counts.ravel()[cell])], ["cell", "n"])
+
+    out = np.zeros(2 * groups * BINS, np.int64)
+    for cell, n in known.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).toPandas().itertuples(index=False):
+        out[cell] = n
+    return out.reshape(2, groups, BINS)
+
+
+def threshold(good: np.ndarray, bad: np.ndarray, allowed: float) -> float:
+    """Of the bins from which on at most `allowed` good rows lie, the one with the largest surplus of bad over good shares.
+
+    Where several do equally well, the middle one; infinity if none has a surplus.
+    """
+    lost, caught = good[::-1].cumsum()[::-1], bad[::-1].cumsum()[::-1]
+    gain = np.where(lost <= allowed, caught / max(bad.sum(), 1) - lost / max(good.sum(), 1), -1)
+    if gain.max() <= 0:
+        return np.inf
+    return float(np.median(np.flatnonzero(gain >= gain.max() - 1e-9))) / len(good)
+
+
 def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, good_loss: float = GOOD_LOSS) -> Forest:
-    """Grow the forest on at most `sample` labelled rows; calibrate on all labelled rows.
+    """Grow the forest on about `sample` labelled rows at most; calibrate on all labelled rows.
 
-    Of the thresholds that reject at most `good_loss` of the good documents which pass the base
-    rule, the one with the largest surplus of rejected bad over rejected good documents is taken.
+    Only rows that pass the base rule are seen. `good_loss` bounds the share of good documents that
+    all thresholds together may reject.
     """
     marks = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = stats.join(marks, "doc_id").where(~base_failed())
-    order = F.xxhash64("doc_id")
-    rows = known.select(*FEATURES, "quality", order.alias("o"), "doc_id").orderBy("o", "doc_id").limit(sample).toPandas()
-    x, fine = rows[FEATURES].to_numpy(np.float64), rows["quality"].to_numpy() > 0
-    normal, odd = x[fine], x[~fine]
-    if not len(normal):
-        return grow_forest(normal)
-    odd = odd[: math.ceil(len(normal) * BAD_SHARE / (1 - BAD_SHARE))]
-    low, high = np.quantile(normal, EDGE, axis=0), np.quantile(normal, 1 - EDGE, axis=0)
-    frame = Forest(np.empty((0, 0)), *[np.empty(0)] * 3, 1.0, 1, low=low, high=high)
-    forest = grow_forest(frame.outside(np.concatenate([normal, odd])))
-    forest.low, forest.high = low, high
-    bins = 2000
-    table = (
-        score_stats(known.select("doc_id", "quality", *FEATURES), forest)
-        .groupBy(F.floor(F.col("anomaly") * bins).alias("bin"), (F.col("quality") > 0).alias("good"))
-        .count()
-        .toPandas()
-    )
-    good, bad = np.zeros(bins + 1), np.zeros(bins + 1)
-    for b, g, n in table.itertuples(index=False):
-        (good if g else bad)[int(b)] += n
-    lost, caught = good[::-1].cumsum()[::-1], bad[::-1].cumsum()[::-1]
-    allowed = lost <= good_loss * good.sum()
-    if good.sum() and allowed.any():
-        gain = np.where(allowed, caught / max(bad.sum(), 1) - lost / good.sum(), -1)
-        if gain.max() > 0:
-            # the middle of the bins that do equally well
-            forest.threshold = float(np.median(np.flatnonzero(gain >= gain.max() - 1e-9))) / bins
+    known = stats.join(marks, "doc_id").where(~base_failed()).select("doc_id", "quality", *FEATURES)
+    rows = lowest(known, F.xxhash64("doc_id", *FEATURES), sample).orderBy("doc_id", *FEATURES).toPandas()
+    forest = grow_forest(rows[FEATURES].to_numpy(np.float64), statistic_groups(len(FEATURES)))
+    good, bad = _tally(known, forest)
+    groups = len(forest.threshold)
+    if len(forest.group):
+        allowed = good_loss * good[0].sum() / groups
+        forest.threshold = np.array([threshold(good[g], bad[g], allowed) for g in range(groups)])
     return forest
 
 
@@ -284,7 +311,7 @@ def verdicts(stats: DataFrame, forest: Forest) -> DataFrame:
     return (
         score_stats(stats, forest)
         .withColumn("base_failed", base_failed())
-        .withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(float(forest.threshold))))
+        .withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < 0))
     )
 
 
@@ -306,6 +333,6 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = text_stats(batch.column(at))
             x = np.column_stack([s[c] for c in FEATURES]).astype(np.float64)
             failed = (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
-            yield batch.filter(pa.array(~failed & (forest.score(x) < forest.threshold)))
+            yield batch.filter(pa.array(~failed & (forest.anomaly(x) < 0)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -34,8 +34,39 @@ def test_counts_match_brute_force():
 def test_forest_finds_outliers():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 1, (2000, 4)), np.full((20, 4), 9.0)])
-    s = q.grow_forest(x).score(x)
-    assert s[2000:].min() > np.quantile(s[:2000], 0.99)
+    s = q.grow_forest(x, q.statistic_groups(4)).scores(x)
+    assert s.shape == (2020, 5)
+    assert (s[2000:].min(0) > np.quantile(s[:2000], 0.99, axis=0)).all()
+
+
+def test_path_lengths_by_isolating_rows():
+    """Each row's path is followed by cutting the rows that the tree drew, one split after the other."""
+    rng = np.random.default_rng(1)
+    x, drawn = np.round(rng.normal(0, 1, (300, 3)), 1), []
+    f = q.grow_forest(x, q.statistic_groups(3), trees=4, rows=20, drawn=drawn)
+    want = np.zeros((len(x), 4))
+    for t, sample in enumerate(drawn):
+        for i, row in enumerate(x):
+            part, node, level = sample, 0, 0
+            while f.child[t, node] != node:
+                j, cut = f.feature[t, node], f.split[t, node]
+                assert j in q.statistic_groups(3)[f.group[t]] and part[:, j].min() < part[:, j].max()
+                part = part[(part[:, j] >= cut) == (row[j] >= cut)]
+                node, level = f.child[t, node] + (row[j] >= cut), level + 1
+            n = len(part)
+            harmonic = sum(1 / k for k in range(1, n))
+            assert level <= 5 and (n <= 1 or level == 5 or all(len(set(part[:, j])) == 1 for j in q.statistic_groups(3)[f.group[t]]))
+            want[i, f.group[t]] += level + (0 if n < 2 else 2 * harmonic - 2 * (n - 1) / n)
+    assert np.allclose(f.paths(x), want / 4)
+    one = f.paths(x)
+    assert np.allclose(f.scores(x), 2 ** (-one / f.norm))
+
+
+def test_threshold():
+    good, bad = np.zeros(100), np.zeros(100)
+    good[10], good[60], bad[40], bad[80] = 990, 10, 50, 50
+    assert q.threshold(good, bad, 5) == 0.705 and q.threshold(good, bad, 10) == 0.255
+    assert q.threshold(good, np.zeros(100), 5) == np.inf
 
 
 def test_whole_query(spark):
@@ -67,3 +98,18 @@ def test_forest_catches_labelled_junk_and_keeps_good(spark):
     n = {(r.good, r.kept): r["count"] for r in out.groupBy((labels.quality > 0).alias("good"), "kept").count().collect()}
     assert n.get((False, False), 0) >= 0.9 * (n.get((False, False), 0) + n.get((False, True), 0))
     assert n.get((True, False), 0) <= 0.005 * n[(True, True)]
+
+
+def test_hashes_do_not_cancel():
+    """Lines and words that cancel in linear hashes are told apart."""
+    for bits in (10, 12):
+        a = "".join("ab"[bin(i).count("1") & 1] for i in range(1 << bits))
+        t = f"{a}\n{a.translate(str.maketrans('ab', 'ba'))}\n" + " ".join(f"{w} x y z u" for w in (a, a.translate(str.maketrans("ab", "ba"))))
+        got = q.text_stats(pa.array([t]))
+        assert tuple(int(got[c][0]) for c in q.COUNTS) == brute(t)
+
+
+def test_very_long_words_and_blanks():
+    for t in ("a" * 1_000_000, " " * 1_000_000, "x\n" * 200_000 + "b" * 600_000):
+        got = q.text_stats(pa.array([t, "a b"]))
+        assert tuple(int(got[c][0]) for c in q.COUNTS) == brute(t) and int(got["n_words"][1]) == 2
