@@ -16,9 +16,10 @@ table gives no rows.
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,10 +36,12 @@ CAPACITY = 1024
 END_ID = 2
 #: About so many pieces share a block when ranks are dealt: thousands of each length.
 BLOCK_PIECES = 1 << 20
-#: Parts of texts whose ids a worker remembers.
-MEMORY = 200_000
-#: Below this character the two libraries know the same letters, digits and blanks (a test holds them to it).
-_KNOWN = "\u0250"
+#: How many parts of texts a worker remembers the ids of, their longest, and how many new ones it asks for at once.
+MEMORY = 700_000
+LONGEST = 48
+ASKED = 2000
+#: Below this character, letters, numbers and blanks are the same in all versions of Unicode (a test holds them to it).
+_KNOWN = 0x250
 
 _LOADED: dict[str, Encoder] = {}
 
@@ -49,19 +52,22 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _part_pattern() -> str:
+    """The pattern by which byte-level vocabularies cut texts into parts, with its classes written out."""
+    kinds = {k: re.escape("".join(c for c in map(chr, range(_KNOWN)) if unicodedata.category(c)[0] == k)) for k in "LN"}
+    letter, number, blank = kinds["L"], kinds["N"], r" \t-\r\x85\xa0"
+    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{blank}{letter}{number}]+|[{blank}]+(?![^{blank}])|[{blank}]+"
+
+
 class Encoder:
-    """ids of texts by `tokenizers`; strings of special tokens are ordinary text.
+    """ids of texts by `tokenizers`, as little-endian unsigned 32-bit bytes; strings of special tokens are ordinary text.
 
     A byte-level vocabulary never merges across the parts that its pattern cuts a text into (blanks,
     words, digits, marks). Parts repeat, so texts of plain characters are cut here and the ids of
     each distinct part are asked for once; all other texts go to the tokenizer as they are.
     """
 
-    #: Fixed pattern of byte-level pre-tokenization.
-    PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
     def __init__(self, vocabulary: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
@@ -70,30 +76,49 @@ class Encoder:
             kind = json.load(f)
         before = kind["pre_tokenizer"] or {}
         self.parted = kind["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-        self.parts = regex.compile(self.PARTS).findall
-        self.known: dict[str, list[int]] = {}
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.cut = re.compile(_part_pattern()).findall
+        self.known: dict[str, bytes] = {}
+        self.line = self._ids(["\n"])[0]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: list[str]) -> None:
+        """Remember the ids of parts. Those that are not blank stand on lines of one text: a line break is a part of its own."""
+        blank = [p for p in parts if p.isspace()]
+        self.known.update(zip(blank, (x.tobytes() for x in self._ids(blank))))
+        parts = list(set(parts).difference(blank))
+        for at in range(0, len(parts), ASKED):
+            some = parts[at : at + ASKED]
+            ids = self._ids(["\n".join(some)])[0]
+            ends = (4 * np.flatnonzero(ids == self.line[0])).tolist()
+            data = ids.tobytes()
+            if len(self.line) == 1 and len(ends) == len(some) - 1:
+                each = [data[a:z] for a, z in zip([0, *[e + 4 for e in ends]], [*ends, len(data)])]
+            else:
+                each = [x.tobytes() for x in self._ids(some)]
+            self.known.update(zip(some, each))
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(texts)
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
         cut, whole = [], []
         for i, text in enumerate(texts):
-            if self.parted and (text.isascii() or max(text) < _KNOWN):
-                cut.append((i, self.parts(text)))
+            if self.parted and (text.isascii() or ord(max(text)) < _KNOWN):
+                cut.append((i, self.cut(text)))
             else:
                 whole.append(i)
         for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids
+            out[i] = ids.tobytes()
         if len(self.known) > MEMORY:
             self.known.clear()
-        known = self.known
-        fresh = list({p for _, parts in cut for p in parts if p not in known})
-        known.update(zip(fresh, self._ids(fresh)))
+        fresh = set().union(*(parts for _, parts in cut)).difference(self.known)
+        if fresh:
+            self._learn(list(fresh))
         for i, parts in cut:
-            out[i] = list(itertools.chain.from_iterable(map(known.__getitem__, parts)))
-        return out  # type: ignore[return-value]
+            out[i] = b"".join(map(self.known.__getitem__, parts))
+        for part in [p for p in fresh if len(p) > LONGEST]:
+            del self.known[part]
+        return out
 
 
 def encoder(vocabulary: str) -> Encoder:
@@ -123,10 +148,11 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _pieces(doc: pa.Array, ids: list[list[int]], capacity: int, end_id: int, names: list[str]) -> pa.RecordBatch:
+def _pieces(doc: pa.Array, ids: list[bytes], capacity: int, end_id: int, names: list[str]) -> pa.RecordBatch:
     """The pieces of documents: the first is the shorter one where a document is cut."""
-    size = np.array([len(x) + 1 for x in ids], np.int64)
-    flat = np.fromiter(itertools.chain.from_iterable(itertools.chain(x, (end_id,)) for x in ids), "<u4", int(size.sum()))
+    size = np.array([len(x) // 4 + 1 for x in ids], np.int64)
+    end = np.array([end_id], "<u4").tobytes()
+    flat = memoryview(end.join([*ids, b""]))
     each = -(-size // capacity)
     row = np.repeat(np.arange(len(size)), each)
     piece = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
@@ -134,7 +160,7 @@ def _pieces(doc: pa.Array, ids: list[list[int]], capacity: int, end_id: int, nam
     length = np.where(piece > 0, capacity, short[row])
     start = np.where(piece > 0, short[row] + (piece - 1) * capacity, 0)
     at = start + (np.cumsum(size) - size)[row]
-    crc = [zlib.crc32(flat[a:z]) for a, z in zip(at.tolist(), (at + length).tolist())]
+    crc = [zlib.crc32(flat[a:z]) for a, z in zip((4 * at).tolist(), (4 * (at + length)).tolist())]
     cols = [pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
     return pa.RecordBatch.from_arrays([doc.take(pa.array(row)), *cols], names)
 
