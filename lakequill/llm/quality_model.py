@@ -6,7 +6,7 @@ gated attention learns, from document labels alone, how much each passage
 counts, and a logistic layer scores the weighted mean of the encodings.
 
 The model is fitted on at most `SAMPLE_ROWS` labelled rows outside the held-out
-fold; labels, lang, source and doc_id are never inputs.
+fold, and on no more of them than have `SAMPLE_PASSAGES` passages in all; labels, lang, source and doc_id are never inputs.
 
 Defined cases: null text counts as empty; a text without words is one passage
 whose statistics are zero; every row gets one output row, repeated rows alike;
@@ -23,13 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import held_out
+from lakequill.llm.common import held_out, lowest, materialize
 from lakequill.llm.textscan import Chunk, chunks, separators
 
 SAMPLE_ROWS = 8_000
+#: Bound on the passages that training holds in memory.
+SAMPLE_PASSAGES = 400_000
 PASSAGE_WORDS = 50
 CUTOFF = 0.5
 _CLASSES = [
@@ -177,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, rest: int = 1, sample:
     """A model from at most `sample` labelled ids whose crc32 remainder is not `rest`."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"), mod, rest))
     marks = marks.groupBy("doc_id").agg((F.max("quality") > 0).cast("int").alias("good"))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    marks = materialize(lowest(marks, F.xxhash64("doc_id"), sample))
     known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id").select("doc_id", "good", "text")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +193,12 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, rest: int = 1, sample:
 
     key = docs.schema["doc_id"].dataType.simpleString()
     # of rows that repeat a doc_id one is enough
-    table = known.mapInArrow(bags, f"doc_id {key}, good int, bag binary").groupBy("doc_id").agg(F.max("good").alias("good"), F.min("bag").alias("bag")).orderBy("doc_id").toPandas()
+    found = known.mapInArrow(bags, f"doc_id {key}, good int, bag binary").groupBy("doc_id").agg(F.max("good").alias("good"), F.min("bag").alias("bag"))
+    found = materialize(found.withColumn("each", F.expr(f"octet_length(bag) div {4 * WIDTH}")))
+    # the window runs over the bounded sample's counts, without its passages
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fit_in = found.select("doc_id", F.sum("each").over(before).alias("total")).where(F.col("total") <= SAMPLE_PASSAGES).select("doc_id")
+    table = found.join(F.broadcast(fit_in), "doc_id").orderBy("doc_id").toPandas()
     y = table["good"].to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         return _constant(float(y.mean()) if len(y) else 0.5)

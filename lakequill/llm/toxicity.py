@@ -4,8 +4,9 @@ A character trigram model is counted over all documents. Suspicious tokens -
 digits or symbols standing for letters, letters repeated three times or more,
 letters kept apart by blanks or marks - become lattices: each place offers the
 letters it may stand for, a run may be one or two letters, marks may be
-dropped, each at a channel cost. Viterbi finds the likeliest word under
-channel and language model, and restored text takes the token's place.
+dropped, letters kept apart may be parted into words, each at a channel cost.
+Viterbi finds the likeliest words under channel and language model, and restored
+text takes the token's place.
 
 The restored text is scored by a logistic model over hashed words and word
 beginnings. It is fitted on at most `SAMPLE_ROWS` labelled rows outside the
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import held_out
+from lakequill.llm.common import held_out, lowest, materialize
 from lakequill.llm.textscan import LOWER, U64, Chunk, chunks, mix, separators, span_hash
 
 SAMPLE_ROWS = 20_000
@@ -45,7 +46,7 @@ READINGS = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t",
 }
-_COST = {"sign": -1.0, "single": -0.3, "double": -0.9, "drop": -2.5, "lost": -6.0}
+_COST = {"sign": -1.0, "single": -0.3, "double": -0.9, "drop": -2.5, "lost": -6.0, "blank": -1.0}
 #: Restored words must reach this mean log-probability per letter.
 _FLOOR = -4.5
 
@@ -53,6 +54,7 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _CODE = np.zeros(256, np.int64)
 for _i, _c in enumerate(_LETTERS):
     _CODE[ord(_c)] = _CODE[ord(_c.upper())] = _i + 1
+_CODE_OF = {c: i + 1 for i, c in enumerate(_LETTERS)} | {" ": 0}
 _NOT_LETTER = separators(bytes(b for b in range(128) if not chr(b).isalpha()))
 _IS_LETTER = _CODE > 0
 _IS_SIGN = separators("".join(READINGS))
@@ -146,16 +148,24 @@ class Decoder:
             i = j
         return out
 
-    def decode(self, token: str) -> tuple[str, float]:
-        """The likeliest word and its log-probability, channel included."""
+    @classmethod
+    def spaced_lattice(cls, letters: str) -> list[tuple[tuple[str, float], ...]]:
+        """The lattice of letters that stood apart: between any two of them a word may end."""
+        out: list[tuple[tuple[str, float], ...]] = []
+        for place in cls.lattice(letters):
+            out += [(("", 0.0), (" ", _COST["blank"]))] * bool(out) + [place]
+        return out
+
+    def decode(self, places: list[tuple[tuple[str, float], ...]]) -> tuple[str, float]:
+        """The likeliest writing of a lattice and its log-probability, channel included."""
         beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for place in self.lattice(token):
+        for place in places:
             fresh: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, word) in beam.items():
                 for letters, cost in place:
                     s, x, y = score + cost, a, b
                     for c in letters:
-                        k = ord(c) - 96
+                        k = _CODE_OF[c]
                         s, x, y = s + self.model[x][y][k], y, k
                     if (x, y) not in fresh or fresh[x, y][0] < s:
                         fresh[x, y] = (s, word + letters)
@@ -172,7 +182,7 @@ class Decoder:
         signs = sum(c in READINGS for c in body)
         if not letters or not (apart or signs or _RUN.search(body) or "*" in body):
             return token
-        word, score = self.decode(body)
+        word, score = self.decode(self.spaced_lattice(body) if apart else self.lattice(body))
         if not word or score < _FLOOR * (len(word) + 1):
             return token
         return word + tail
@@ -290,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, sample:
     trigrams = log_model(trigram_counts(docs))
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"), mod, rest))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    marks = materialize(lowest(marks, F.xxhash64("doc_id"), sample))
     known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id").select("doc_id", "toxic", "text")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
