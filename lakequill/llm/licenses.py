@@ -5,12 +5,13 @@ non-ASCII characters; the words, joined by one space, run once through an
 automaton that holds all notice phrases and the identifier tag. Where the tag
 occurs, the raw expression behind it is parsed to postfix form and evaluated:
 `and` joins the licences of both sides, `or` offers either, `with` binds an
-exception to its licence.
+exception to its licence. Operands are names of the licence list; what follows
+an expression, such as prose, ends it.
 
 Defined cases: null text counts as empty (no words, no places, score 0); every
 input row gives one output row, repeated rows included; other columns of the
 input are ignored, so clashing names cannot matter; an expression that does not
-parse gives the label `spdx-invalid`.
+parse or does not begin with a licence gives the label `spdx-invalid`.
 """
 
 from __future__ import annotations
@@ -46,7 +47,41 @@ _TAG_AT = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", re.I)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 #: How sure one place makes us that its licence is meant.
 _WEIGHTS = {"tag": 0.95, "notice": 0.8, "base": 0.5}
-PERMISSIVE = {"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "cc0-1.0", "unlicense", "zlib", "cc-by-4.0"}
+PERMISSIVE = {"mit", "mit-0", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "0bsd", "isc", "cc0-1.0", "unlicense", "zlib", "cc-by-4.0", "bsl-1.0", "wtfpl", "x11", "ncsa", "python-2.0", "postgresql"}
+#: Fixed names of the SPDX licence list: families with their versions, then licences without.
+_FAMILIES = {
+    "afl": "1.1 1.2 2.0 2.1 3.0", "agpl": "1.0 3.0", "apache": "1.0 1.1 2.0", "apsl": "1.0 1.1 1.2 2.0", "artistic": "1.0 2.0",
+    "bsl": "1.0", "cc-by": "1.0 2.0 2.5 3.0 4.0", "cc-by-nc": "1.0 2.0 2.5 3.0 4.0", "cc-by-nc-nd": "1.0 2.0 2.5 3.0 4.0",
+    "cc-by-nc-sa": "1.0 2.0 2.5 3.0 4.0", "cc-by-nd": "1.0 2.0 2.5 3.0 4.0", "cc-by-sa": "1.0 2.0 2.5 3.0 4.0", "cc0": "1.0",
+    "cddl": "1.0 1.1", "cecill": "1.0 1.1 2.0 2.1", "cpl": "1.0", "ecl": "1.0 2.0", "epl": "1.0 2.0", "eupl": "1.0 1.1 1.2",
+    "gfdl": "1.1 1.2 1.3", "gpl": "1.0 2.0 3.0", "lgpl": "2.0 2.1 3.0", "lppl": "1.0 1.1 1.2 1.3a 1.3c", "mpl": "1.0 1.1 2.0",
+    "odbl": "1.0", "ofl": "1.0 1.1", "osl": "1.0 1.1 2.0 2.1 3.0", "php": "3.0 3.01", "python": "2.0", "qpl": "1.0", "sspl": "1.0",
+    "upl": "1.0", "zpl": "1.1 2.0 2.1",
+}
+_SINGLE = (
+    "0bsd beerware bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause bzip2-1.0.6 curl "
+    "fsfap ftl hpnd icu ijg isc json libpng libtiff linux-openib mit mit-0 mit-feh mit-modern-variant ms-pl ms-rl mulanpsl-2.0 "
+    "ncsa netcdf ntp openssl postgresql psf-2.0 ruby sleepycat tcl unicode-dfs-2016 unicode-3.0 unlicense vim w3c wtfpl x11 xnet zlib"
+)
+_GNU = {"agpl", "gfdl", "gpl", "lgpl"}
+
+
+def licence_list() -> frozenset[str]:
+    """Lower-cased names; the GNU families also with -only and -or-later."""
+    names = set(_SINGLE.split())
+    for family, versions in _FAMILIES.items():
+        for v in versions.split():
+            names |= {f"{family}-{v}{end}" for end in (("", "-only", "-or-later") if family in _GNU else ("",))}
+    return frozenset(names)
+
+
+LICENCES = licence_list()
+_EXCEPTION = re.compile(r".*-exception(-\d[\d.]*)?|llvm-exception|linux-syscall-note")
+
+
+def is_licence(name: str) -> bool:
+    return name.removesuffix("+") in LICENCES or name.startswith(("licenseref-", "documentref-"))
+
 
 _WORD_TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -55,15 +90,18 @@ _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
 def postfix(expression: str) -> list[str] | None:
-    """Operands and operators in postfix order; None if the expression is not well formed."""
+    """Operands and operators in postfix order; None if the text does not begin with a well-formed expression.
+
+    An operator whose right side is no operand belongs to the prose behind the expression.
+    """
     out: list[str] = []
     stack: list[str] = []
     want_operand = True
     for raw in _TOKEN.findall(expression):
-        token = raw.lower()
+        token = raw.lower().rstrip(".")
         if token == "(":
             if not want_operand:
-                return None
+                break
             stack.append(token)
         elif token == ")":
             if want_operand:
@@ -80,11 +118,17 @@ def postfix(expression: str) -> list[str] | None:
                 out.append(stack.pop())
             stack.append(token)
             want_operand = True
-        else:
-            if not want_operand:
-                break  # prose after the expression
+        elif not want_operand:
+            break
+        elif _EXCEPTION.fullmatch(token) if stack[-1:] == ["with"] else is_licence(token):
             out.append(token)
             want_operand = False
+        elif stack and stack[-1] in _BINDS:
+            stack.pop()
+            want_operand = False
+            break
+        else:
+            return None
     if want_operand or "(" in stack:
         return None
     return out + stack[::-1]
@@ -98,7 +142,7 @@ def evaluate(expression: str) -> tuple[list[str], bool] | None:
     stack: list[tuple[frozenset, bool]] = []
     for token in rpn:
         if token not in _BINDS:
-            stack.append((frozenset([token]), token in PERMISSIVE))
+            stack.append((frozenset([token]), token.removesuffix("+") in PERMISSIVE))
             continue
         (b, free_b), (a, free_a) = stack.pop(), stack.pop()
         if token == "with":
@@ -191,3 +235,30 @@ def op10(docs: DataFrame) -> DataFrame:
         "score",
         "permissive",
     )
+
+
+def base_places(docs: DataFrame) -> DataFrame:
+    """The columns of `op10` that SQL can express."""
+    return op10(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def _base_sql() -> str:
+    places, labels = [], []
+    for phrase, label in BASE_PHRASES.items():
+        words = phrase.split()
+        mine = f"list_filter(range(len(w)), lambda i: w[i+1:i+{len(words)}] = {words!r})"
+        places.append(mine)
+        labels.append(f"CASE WHEN len({mine}) > 0 THEN ['{label}'] ELSE [] END")
+    every = " || ".join(places)
+    return f"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n, {every} AS spots, list_sort({" || ".join(labels)}) AS labels FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(spots) AS BIGINT) AS n_base, CAST(list_min(spots) AS BIGINT) AS first_word,
+  CAST(list_max(spots) AS BIGINT) AS last_word, array_to_string(labels, ',') AS base_labels
+FROM p
+"""
+
+
+BASE_SQL = _base_sql()

@@ -5,7 +5,8 @@ divided by size. The whole part is given to all; the fractional part is rounded
 by pairing documents of one source and moving words from one to the other, up
 or down at random with the odds that keep expectations, until one of the two
 is integral. A move keeps the words of a pair, so a source's total changes only
-where its very last residual is rounded to the nearer whole copy.
+where its very last residual is rounded: to the nearer whole copy, not at random,
+which keeps the total within half of that document's words.
 
 The pairing is a reduction tree: blocks of documents of similar length run on
 their own, each leaves one residual, and residuals combine in groups of
@@ -177,6 +178,28 @@ def op4(docs: DataFrame) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def document_targets(docs: DataFrame) -> DataFrame:
+    """The columns of `op4` that SQL can express, targets to three places."""
+    return op4(docs).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+TARGET_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT source, source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 1.5 * sum(source_size) OVER () AS budget FROM s),
+o AS (
+  SELECT *, coalesce(sum(2 * source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM w),
+f AS (SELECT *, (budget - before) * weight >= 2 * source_size * open AS full_ FROM o),
+t AS (
+  SELECT source, source_size, CASE WHEN full_ THEN CAST(2 * source_size AS DOUBLE)
+    ELSE (budget - coalesce(sum(2 * source_size) FILTER (WHERE full_) OVER (), 0)) * weight / sum(weight) FILTER (WHERE NOT full_) OVER () END AS target FROM f)
+SELECT doc_id, size, source_size, round(CAST(target AS DOUBLE), 3) AS target
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
+
+
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it.
 

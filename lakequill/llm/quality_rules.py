@@ -336,3 +336,26 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(~failed & (forest.anomaly(x) < 0)))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def base_counts(docs: DataFrame) -> DataFrame:
+    """The columns of `op8` that SQL can express."""
+    return rule_stats(docs).select("doc_id", *COUNTS, base_failed().alias("base_failed"))
+
+
+BASE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (
+  SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS g
+  FROM d, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)),
+m AS (SELECT doc_id, list(i) AS spots FROM g GROUP BY doc_id, g HAVING count(*) > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM m, LATERAL (SELECT unnest(spots) AS i), LATERAL (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
+c AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN r ON r.doc_id = d.doc_id)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c
+"""

@@ -50,6 +50,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op10(table(spark, sf_dir, "documents"))
 
 
+def base_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.base_counts(table(spark, sf_dir, "documents"))
+
+
+def base_license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.base_places(table(spark, sf_dir, "documents"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_targets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_repeated_passages": op2_repeated_passages,
@@ -61,6 +73,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_exact_topk": op9_exact_topk,
     "op10_license_scan": op10_license_scan,
+    # the columns of op8, op10 and op4 that SQL can express, held to it
+    "base_quality_counts": base_quality_counts,
+    "base_license_places": base_license_places,
+    "mix_targets": mix_targets,
 }
 
 ORACLES: dict[str, str] = {
@@ -68,4 +84,7 @@ ORACLES: dict[str, str] = {
     "op3_secret_scan": secrets.SQL,
     "op6_ngram_jaccard": jaccard.SQL,
     "op9_exact_topk": topk.SQL,
+    "base_quality_counts": quality_rules.BASE_SQL,
+    "base_license_places": licenses.BASE_SQL,
+    "mix_targets": mixing.TARGET_SQL,
 }

@@ -139,3 +139,16 @@ def test_chain_components_and_empty(spark):
     assert J.op6(empty(spark)).count() == 0 and J.keep_one(empty(spark)).count() == 0
     with pytest.raises(ValueError):
         J.Likeness(3, 60, 100)
+
+
+def test_words_that_cancel_in_linear_hashes(spark):
+    texts = []
+    for bits in (10, 12):
+        a = "".join("ab"[bin(i).count("1") & 1] for i in range(1 << bits))
+        texts += [f"{w} x y" for w in (a, a.translate(str.maketrans("ab", "ba")))]
+    assert run(spark, texts, [1, 2, 3, 4]) == brute(list(enumerate(texts, 1))) and run(spark, texts, [1, 2, 3, 4])[1][2] == 2
+
+
+def test_very_long_words_and_blanks(spark):
+    texts = ["a" * 1_000_000, " " * 1_000_000, "a" * 1_000_000, "\n" * 500_000 + "b c " * 100_000]
+    assert run(spark, texts, [1, 2, 3, 4]) == brute(list(enumerate(texts, 1)))

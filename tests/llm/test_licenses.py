@@ -43,6 +43,46 @@ def test_expressions():
         assert L.evaluate(bad) is None
 
 
+def test_operands_are_licences():
+    assert L.evaluate("MIT and others") == (["mit"], True) and L.evaluate("Apache-2.0. See the file") == (["apache-2.0"], True)
+    assert L.evaluate("see file") is None and L.evaluate("(MIT or something") is None and L.evaluate("MIT WITH prose") == (["mit"], True)
+    assert L.evaluate("GPL-2.0-or-later WITH GCC-exception-3.1 OR LGPL-2.1+") == (["gpl-2.0-or-later-with-gcc-exception-3.1", "lgpl-2.1+"], False)
+    assert L.evaluate("LicenseRef-own AND CC-BY-SA-4.0") == (["cc-by-sa-4.0", "licenseref-own"], False)
+    assert L.evaluate("MIT OR (see file)") is None
+    assert {"mit", "gpl-3.0-only", "cc-by-nc-sa-4.0", "0bsd"} <= L.LICENCES and "see" not in L.LICENCES
+
+
+def test_expressions_against_recursive_evaluation():
+    import random
+
+    rng = random.Random(2)
+    free = lambda n: n in L.PERMISSIVE
+
+    def build(depth):
+        """An expression with its names and whether permissive licences alone satisfy it."""
+        if depth == 0 or rng.random() < 0.3:
+            n = rng.choice(["mit", "isc", "gpl-2.0", "mpl-2.0", "apache-2.0"])
+            if rng.random() < 0.2:
+                return f"{n} with llvm-exception", {f"{n}-with-llvm-exception"}, free(n)
+            return n, {n}, free(n)
+        (a, x, p), (b, y, q) = build(depth - 1), build(depth - 1)
+        if rng.random() < 0.5:
+            return f"({a}) AND ({b})", x | y, p and q
+        return f"({a}) or ({b})", x | y, p or q
+
+    for _ in range(300):
+        text, names, permissive = build(4)
+        assert L.evaluate(text) == (sorted(names), permissive), text
+    # without parentheses `and` binds tighter
+    assert L.evaluate("gpl-2.0 or mit and isc")[1] and not L.evaluate("gpl-2.0 and mit or mpl-2.0")[1]
+
+
+def test_very_long_words_and_blanks(spark):
+    texts = ["a" * 1_000_000, " " * 1_000_000, "cc by " * 100_000, "SPDX-License-Identifier: " + "(" * 500_000]
+    rows = {r.doc_id: r for r in L.op10(docs(spark, texts)).collect()}
+    assert (rows[0].n_words, rows[1].n_words, rows[2].n_base, rows[2].last_word) == (1, 0, 100_000, 199_998) and rows[3].labels == "spdx-invalid"
+
+
 def test_tags_and_empty(spark):
     rows = {r.doc_id: r for r in L.op10(docs(spark, TEXTS)).collect()}
     i = len(awkward_texts())

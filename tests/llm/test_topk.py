@@ -64,3 +64,9 @@ def test_large_components_and_empty(spark):
     assert [(q, r, v) for q, r, v, _ in ask(spark, rows)] == [(0, 1, 1), (0, 2, 2)]
     assert K.op9(spark.createDataFrame([], SCHEMA)).count() == 0
     assert K.exact_topk(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 7).count() == 0
+
+
+def test_long_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(c)) for c in v], 0, 0) for i, v in enumerate(rng.normal(0, 1, (120, 3000)))]
+    assert ask(spark, rows) == brute(rows)
