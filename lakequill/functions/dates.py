@@ -6,6 +6,8 @@ modifiers are native integer and calendar expressions.
 
 from __future__ import annotations
 
+import datetime as calendar
+import math
 import re
 from dataclasses import dataclass
 
@@ -217,24 +219,41 @@ def unixepoch(m: Moment) -> Column:
     return m.ms / F.lit(1000.0) if m.subsec else F.floor(m.ms / 1000).cast("bigint")
 
 
+#: Days and years of the calendar's cycle.
+_CYCLE_DAYS, _CYCLE_YEARS = 146_097, 400
+_EPOCH = calendar.date(1970, 1, 1).toordinal()
+
+
+def of_civil(year: int, month: int, day: int) -> int:
+    """Milliseconds of a date of any year; days past the month's end run over."""
+    cycles, year = divmod(year - 2000, _CYCLE_YEARS)
+    first = calendar.date(2000 + year, month, 1).toordinal() - _EPOCH
+    return (first + cycles * _CYCLE_DAYS + day - 1) * DAY
+
+
+def civil(ms: float) -> tuple[int, int, int, int]:
+    """Year, month, day and the milliseconds of the day."""
+    days, rest = divmod(math.floor(ms), DAY)
+    cycles, days = divmod(days, _CYCLE_DAYS)
+    d = calendar.date.fromordinal(days + _EPOCH)
+    return d.year + cycles * _CYCLE_YEARS, d.month, d.day, rest
+
+
 def _difference(a: int, b: int) -> str:
     """Years, months, days and time from b to a, as ±YYYY-MM-DD HH:MM:SS.SSS."""
-    sign = "+" if a >= b else "-"
-    low, high = (pd.Timestamp(min(a, b), unit="ms"), pd.Timestamp(max(a, b), unit="ms"))
+    sign, low, high = ("+", b, a) if a >= b else ("-", a, b)
+    # the shorter span is taken from the later end going back for negative differences
+    year, month, day, rest = civil(low if sign == "+" else high)
 
-    def step(months: int) -> pd.Timestamp:
-        # the shorter span is taken from the later end going back for negative differences
-        base, back = (low, 1) if sign == "+" else (high, -1)
-        total = base.year * 12 + base.month - 1 + back * months
-        first = pd.Timestamp(year=total // 12, month=total % 12 + 1, day=1)
-        return first + pd.Timedelta(days=base.day - 1) + (base - base.normalize())
+    def step(months: int) -> int:
+        total = year * 12 + month - 1 + (months if sign == "+" else -months)
+        return of_civil(total // 12, total % 12 + 1, day) + rest
 
-    months = (high.year - low.year) * 12 + high.month - low.month + 1
+    (y0, m0, *_), (y1, m1, *_) = civil(low), civil(high)
+    months = (y1 - y0) * 12 + m1 - m0 + 1
     while months > 0 and (step(months) > high if sign == "+" else step(months) < low):
         months -= 1
-    rest = high - step(months) if sign == "+" else step(months) - low
-    total = rest.days * DAY + rest.seconds * 1000 + rest.microseconds // 1000
-    day, total = divmod(total, DAY)
+    day, total = divmod(high - step(months) if sign == "+" else step(months) - low, DAY)
     hour, total = divmod(total, 3_600_000)
     minute, total = divmod(total, 60_000)
     return f"{sign}{months // 12:04d}-{months % 12:02d}-{day:02d} {hour:02d}:{minute:02d}:{total // 1000:02d}.{total % 1000:03d}"

@@ -132,7 +132,7 @@ def glob_regex(pattern: str) -> str:
             k = end + 1
         else:
             out += re.sub(r"([\\.^$|()\[\]{}*+?])", r"\\\1", c)
-    return f"(?s)^{out}$"
+    return rf"(?s)^{out}\z"
 
 
 def glob(x: Column, pattern: str) -> Column:

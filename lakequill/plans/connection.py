@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import uuid
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakequill.functions import sql_udfs
 from lakequill.operators.compound import limited
@@ -28,11 +30,23 @@ class EngineError(RuntimeError):
         self.kind = kind
 
 
+def _order_column(term: str, names: list[str]) -> Column:
+    """An ORDER BY term of a recursive body; a number is a column's place."""
+    body, nulls = re.fullmatch(r"(.*?)(?: NULLS (FIRST|LAST))?", term, re.S).groups()  # type: ignore[union-attr]
+    down = body.endswith(" DESC")
+    body = body.removesuffix(" DESC").removesuffix(" ASC")
+    c = F.col(quoted(names[int(body) - 1])) if body.isdigit() else F.expr(body)
+    first = (nulls or ("LAST" if down else "FIRST")) == "FIRST"
+    return (c.desc_nulls_first() if first else c.desc_nulls_last()) if down else (c.asc_nulls_first() if first else c.asc_nulls_last())
+
+
 class Connection:
     """One read-only database: every table of a folder as a view of the session."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, max_rows: int | None = None, max_sql: int = 16 << 20):
-        self.spark, self.sf_dir, self.max_rows, self.max_sql = spark, sf_dir, max_rows, max_sql
+    def __init__(self, spark: SparkSession, sf_dir: str, max_rows: int | None = None, max_sql: int = 16 << 20, max_bytes: int | None = None):
+        """max_rows and max_bytes bound what one statement may give out."""
+        self.spark, self.sf_dir, self.max_rows, self.max_sql, self.max_bytes = spark, sf_dir, max_rows, max_sql, max_bytes
+        self.defined: set[str] = set()
         catalog.register(spark, sf_dir)
         sql_udfs.register(spark)
 
@@ -44,6 +58,20 @@ class Connection:
                 kinds.setdefault(f.name.lower(), set()).add(_KINDS.get(catalog.declared_type(f.dataType)))
         return {n: k for n, s in kinds.items() if len(s) == 1 and (k := next(iter(s)))}
 
+    def define_view(self, name: str, sql: str, columns: list[str] | None = None) -> None:
+        """A named SELECT, with its own column names or given ones; views may stand on views."""
+        rows = self.query(sql)
+        if columns is not None and len(columns) != len(rows.columns):
+            raise EngineError("sql", f"expected {len(columns)} columns for '{name}' but got {len(rows.columns)}")
+        (rows.toDF(*columns) if columns else rows).createOrReplaceTempView(quoted(name))
+
+    def define(self, functions: dict[str, str]) -> None:
+        """Temporary functions that a statement's text needs; their names follow from what they do."""
+        for name, text in functions.items():
+            if name not in self.defined:
+                self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {text}")
+                self.defined.add(name)
+
     def prepare(self, sql: str) -> tuple["Statement | None", str]:
         """The first statement and the rest of the text; None where there is only white space."""
         if len(sql) > self.max_sql:
@@ -111,28 +139,46 @@ class Statement:
                 if df is None:
                     raise EngineError("sql", f"no such table: pragma_{name}")
                 df.createOrReplaceTempView(view)
+            self.connection.define(self.translator.functions)
             for loop in self.translator.loops:
                 self._run_loop(loop)
-            return spark.sql(self.text, args={n: self.values.get(n) for n in self.parameters} or None)
+            return spark.sql(self._limited(self.text), args={n: self.values.get(n) for n in self.parameters} or None)
         except PySparkException as e:
             raise EngineError("sql", str(e).split("\n")[0]) from e
 
+    def _limited(self, text: str) -> str:
+        """Limits given as parameters, written out: a negative one is none."""
+
+        def one(m: re.Match) -> str:
+            n = self.values.get(m[2])
+            if isinstance(n, bool) or not isinstance(n, (int, float)) or n != int(n):
+                raise EngineError("sql", "datatype mismatch")
+            return "" if n < 0 else f" {m[1]} {int(n)}"
+
+        names = "|".join(map(re.escape, self.translator.limits))
+        return re.sub(rf" (LIMIT|OFFSET) :({names})\b", one, text) if names else text
+
     def _run_loop(self, loop: Loop) -> None:
         spark = self.connection.spark
-        head = f"WITH {', '.join(loop.before)} " if loop.before else ""
         args = {n: self.values.get(n) for n in self.parameters} or None
-        seed = spark.sql(head + loop.seed, args=args)
+
+        def rows_of(text: str, *tables: str) -> DataFrame:
+            head = [*loop.before, *tables]
+            return spark.sql((f"WITH {', '.join(head)} " if head else "") + text, args=args)
+
+        seed = rows_of(loop.seed)
         seed = seed.toDF(*loop.columns) if loop.columns else seed
 
         def step(front: DataFrame) -> DataFrame:
-            front.createOrReplaceTempView(quoted(loop.name))
-            return spark.sql(head + loop.step, args=args)
+            front.createOrReplaceTempView(f"{loop.view}_front")
+            return rows_of(loop.step, f"{quoted(loop.name)} AS (SELECT * FROM {loop.view}_front)")
 
-        if loop.limit >= 0:
-            rows = queue(seed, step, loop.limit, loop.offset, distinct=loop.distinct).select(*seed.columns)
+        order = [_order_column(t, seed.columns) for t in loop.order] or None
+        if loop.limit >= 0 or order:
+            rows = queue(seed, step, loop.limit, loop.offset, order, loop.distinct).select(*[quoted(c) for c in seed.columns])
         else:
             rows = limited(fixpoint(seed, step, loop.distinct), -1, loop.offset)
-        rows.createOrReplaceTempView(quoted(loop.name))
+        rows.createOrReplaceTempView(loop.view)
 
     def _pragma(self) -> DataFrame:
         words = tokens(self.sql)
@@ -154,7 +200,7 @@ class Statement:
         spark = self.connection.spark
         try:
             if self.cursor is None:
-                self.cursor = Cursor(self.dataframe(), self.connection.max_rows)
+                self.cursor = Cursor(self.dataframe(), self.connection.max_rows, self.connection.max_bytes)
             spark.addTag(self.tag)
             return self.cursor.step()
         except LimitError as e:

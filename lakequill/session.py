@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,8 @@ def build_session(app: str = "lakequill", master: str | None = None, **conf: str
         "spark.sql.ansi.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # recursion ends by its rows, not by its depth; the limit on rows stays
+        "spark.sql.cteRecursionLevelLimit": "-1",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -32,3 +36,24 @@ def build_session(app: str = "lakequill", master: str | None = None, **conf: str
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder (any path that Spark can read)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share.
+
+    Only on one machine, as in tests, a local folder takes the place of a missing setting.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{root.rstrip('/')}/lq-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = path or shared_dir(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
