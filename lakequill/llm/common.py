@@ -3,37 +3,18 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakequill.session import table, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only on one machine, as in tests, a local folder takes the place of a missing setting.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{root.rstrip('/')}/lq-{uuid.uuid4().hex}"
+__all__ = ["held_out", "lowest", "materialize", "parts_for", "small_or_shuffled", "table"]
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df)
 
 
 def parts_for(df: DataFrame, bytes_each: int = 2 << 20, least: int = 8, most: int = 1 << 26) -> int:

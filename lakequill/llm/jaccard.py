@@ -34,6 +34,7 @@ the graph; other columns are ignored by `join` and kept by `keep_one`.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -516,11 +517,46 @@ def _verified(found: DataFrame, pairs: DataFrame, like: Likeness, parts: int) ->
     return home.cogroup(sent.groupBy("to")).applyInArrow(check, "a bigint, b bigint")
 
 
+#: Nodes that a task holds while it contracts edges.
+HELD_NODES = 1 << 20
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) from each node of a partition to the smallest one it is connected with there.
+
+    Beyond HELD_NODES what was found so far is given out and the rest starts anew.
+    """
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while root[top] != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    def edges() -> pa.RecordBatch:
+        both = [(x, r) for x in root if (r := find(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in both], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = find(root.setdefault(x, x)), find(root.setdefault(y, y))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        if len(root) > HELD_NODES:
+            yield edges()
+            root.clear()
+    yield edges()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b): the smallest node connected to it.
 
-    Large-star and small-star steps alternate until the edges no longer change. Hot nodes are joined
-    with their minimum, which splits under skew, rather than gathered.
+    Large-star and small-star steps alternate until the edges no longer change; between them each
+    partition contracts its edges, so that few rounds remain. Hot nodes are joined with their
+    minimum, which splits under skew, rather than gathered.
     """
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -531,15 +567,18 @@ def components(edges: DataFrame) -> DataFrame:
         out = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return out.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
-    e = materialize(edges.where("a <> b").distinct())
+    def contracted(e: DataFrame) -> DataFrame:
+        return materialize(e.select("a", "b").mapInArrow(_contracted, "a bigint, b bigint"))
+
+    def mark(e: DataFrame):
+        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    e = contracted(edges.where("a <> b"))
     nodes = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
-    mark = None
-    while True:
-        e = materialize(star(materialize(star(e, True)), False))
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
+    old, now = None, mark(e)
+    while now[0] and now != old:
+        e = contracted(star(materialize(star(e, True)), False))
+        old, now = now, mark(e)
     roots = e.groupBy("a").agg(F.min("b").alias("root"))
     return nodes.join(roots, nodes["node"] == roots["a"], "left").select("node", F.coalesce("root", "node").alias("root"))
 
