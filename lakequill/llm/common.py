@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakequill.session import table, written
 
-__all__ = ["held_out", "lowest", "materialize", "parts_for", "small_or_shuffled", "table"]
+__all__ = ["held_out", "lean", "lowest", "materialize", "parts_for", "release_memory", "small_or_shuffled", "table"]
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -17,6 +20,45 @@ def materialize(df: DataFrame) -> DataFrame:
     return written(df)
 
 
+_TRIM_THRESHOLD, _MMAP_THRESHOLD, _ARENA_MAX = -1, -3, -8  # fixed numbers of the C library's mallopt
+
+
+def _give_back_memory() -> None:
+    """Let this process return large blocks to the system as soon as they are freed.
+
+    Python workers are reused from stage to stage and several wait beside each executor; by default
+    each keeps what its largest task once needed.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    tune = getattr(ctypes.CDLL(None), "mallopt", None)
+    if tune is not None:
+        for what, value in ((_MMAP_THRESHOLD, 4 << 20), (_TRIM_THRESHOLD, 8 << 20), (_ARENA_MAX, 2)):
+            tune(what, value)
+
+
+# on import, and so in every worker that runs one of the operators
+_give_back_memory()
+
+
+def release_memory() -> None:
+    """Give back also the small blocks that earlier tasks of this worker process freed."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`fn` over batches, whose worker gives back what was freed when the partition ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
 def parts_for(df: DataFrame, bytes_each: int = 2 << 20, least: int = 8, most: int = 1 << 26) -> int:
     """How many buckets hold about `bytes_each` bytes of a plan's estimated input size.
 
@@ -34,7 +76,7 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
 
 
 #: Rows that a side of a join may have to be sent to every executor.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

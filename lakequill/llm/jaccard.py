@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import materialize, parts_for
+from lakequill.llm.common import lean, materialize, parts_for, release_memory
 from lakequill.llm.textscan import U64, chunks, mix, ngrams, pack, pack_sorted, unpack, unpack_sorted
 
 FREQUENT = 16
@@ -231,6 +231,7 @@ def candidates_table(docs: DataFrame, like: Likeness) -> DataFrame:
     rows = docs.where("doc_id is not null").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("bucket"))
 
     def count(table: pa.Table) -> pa.Table:
+        release_memory()
         s = _Sets(table, like.k)
         near = [t[: np.searchsorted(t, U64(like.low()))] for t in s.sets]
         key, times = np.unique(np.concatenate(near), return_counts=True) if near else (np.empty(0, U64), np.empty(0, np.int64))
@@ -268,6 +269,7 @@ def candidates_table(docs: DataFrame, like: Likeness) -> DataFrame:
     def index(table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table(0, {"at": []})
+        release_memory()
         s = _Sets(table, like.k)
         known, level = np.empty(0, U64), np.empty(0, np.uint8)
         if back.num_rows:
@@ -355,7 +357,7 @@ def _chains(found: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     across = found.where("kind = 1").groupBy("at").applyInArrow(shard, "a bigint, b bigint")
-    within = found.where("kind = 2").select("sids", "keys").mapInArrow(local, "a bigint, b bigint")
+    within = found.where("kind = 2").select("sids", "keys").mapInArrow(lean(local), "a bigint, b bigint")
     return across.unionByName(within).where("a <> b").distinct()
 
 
@@ -464,7 +466,7 @@ def _texts(found: DataFrame) -> DataFrame:
             sids = [int(unpack(x, np.int64)[0]) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), b.column(1)], ["sid", "text"])
 
-    return found.where("kind = 3").select("sids", "text").mapInArrow(run, "sid bigint, text string")
+    return found.where("kind = 3").select("sids", "text").mapInArrow(lean(run), "sid bigint, text string")
 
 
 def _verified(found: DataFrame, pairs: DataFrame, like: Likeness, parts: int) -> DataFrame:
@@ -568,7 +570,7 @@ def components(edges: DataFrame) -> DataFrame:
         return out.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
     def contracted(e: DataFrame) -> DataFrame:
-        return materialize(e.select("a", "b").mapInArrow(_contracted, "a bigint, b bigint"))
+        return materialize(e.select("a", "b").mapInArrow(lean(_contracted), "a bigint, b bigint"))
 
     def mark(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -593,7 +595,7 @@ def described(docs: DataFrame, like: Likeness) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(set_ids(key, ptr), mask=n == 0), pa.array(n)], ["doc_id", "sid", "n_shingles"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, sid bigint, n_shingles bigint")
+    return rows.mapInArrow(lean(run), "doc_id bigint, sid bigint, n_shingles bigint")
 
 
 def join(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:

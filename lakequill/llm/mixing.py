@@ -28,11 +28,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakequill.llm.common import materialize, small_or_shuffled
+from lakequill.llm.common import lean, materialize, small_or_shuffled
 from lakequill.llm.textscan import chunks, mix
 
 WEIGHTS = (3, 1, 2)
@@ -53,7 +54,7 @@ def sizes(docs: DataFrame) -> DataFrame:
             n = np.concatenate(n) if n else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n.astype(np.int64))], schema.names)
 
-    return docs.select("doc_id", "source", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", "source", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -232,14 +233,13 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
 def _with_size(docs: DataFrame) -> DataFrame:
     """row (all columns of `docs`), doc_id, source and size, the number of words."""
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    rows = docs.select(row, docs["text"].cast("string").alias("text"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     schema = T.StructType([rows.schema["row"], T.StructField("size", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [c.words().counts() for c in chunks(b.column(1))]
+            n = [c.words().counts() for c in chunks(pc.struct_field(b.column(0), "text"))]
             n = np.concatenate(n) if n else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64))], schema.names)
 
-    return rows.mapInArrow(run, schema).select("row", "row.doc_id", "row.source", "size")
+    return rows.mapInArrow(lean(run), schema).select("row", "row.doc_id", "row.source", "size")

@@ -16,7 +16,6 @@ table gives no rows.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import unicodedata
@@ -30,16 +29,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakequill.llm.common import materialize
+from lakequill.llm.common import lean, materialize, release_memory
 
 CAPACITY = 1024
 END_ID = 2
 #: About so many pieces share a block when ranks are dealt: thousands of each length.
 BLOCK_PIECES = 1 << 20
-#: How many parts of texts a worker remembers the ids of, their longest, and how many new ones it asks for at once.
-MEMORY = 700_000
+#: How many parts of texts a worker remembers the ids of (twice: those of late and those before), their longest, and
+#: how many new ones it asks for at once.
+MEMORY = 400_000
 LONGEST = 48
 ASKED = 2000
+#: Documents whose ids a worker holds at once.
+ROWS = 128
 #: Below this character, letters, numbers and blanks are the same in all versions of Unicode (a test holds them to it).
 _KNOWN = 0x250
 
@@ -69,15 +71,15 @@ class Encoder:
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        with open(vocabulary, encoding="utf-8") as f:
-            kind = json.load(f)
-        before = kind["pre_tokenizer"] or {}
-        self.parted = kind["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        before = self.tokenizer.pre_tokenizer
+        self.parted = self.tokenizer.normalizer is None and isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space
         self.cut = re.compile(_part_pattern()).findall
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.line = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -110,10 +112,11 @@ class Encoder:
         for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = ids.tobytes()
         if len(self.known) > MEMORY:
-            self.known.clear()
-        fresh = set().union(*(parts for _, parts in cut)).difference(self.known)
-        if fresh:
-            self._learn(list(fresh))
+            self.before, self.known = self.known, {}
+        fresh = list(set().union(*(parts for _, parts in cut)).difference(self.known))
+        before = self.before
+        self.known.update({p: before[p] for p in fresh if p in before})
+        self._learn([p for p in fresh if p not in before])
         for i, parts in cut:
             out[i] = b"".join(map(self.known.__getitem__, parts))
         for part in [p for p in fresh if len(p) > LONGEST]:
@@ -138,14 +141,15 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # one thread for each task: the scheduler counts on it
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        release_memory()
         encode = encoder(vocabulary)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for at in range(0, len(texts), 256):
-                ids = encode(texts[at : at + 256])
-                yield _pieces(b.column(0).slice(at, len(ids)), ids, capacity, end_id, schema.names)
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                ids = encode([t or "" for t in part.column(1).to_pylist()])
+                yield _pieces(part.column(0), ids, capacity, end_id, schema.names)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def _pieces(doc: pa.Array, ids: list[bytes], capacity: int, end_id: int, names: list[str]) -> pa.RecordBatch:
@@ -316,7 +320,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             seq = seqs[k] + rank - (keys[k] & ((1 << 40) - 1))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(seq), pa.array(offs[k])], schema.names)
 
-    return full.select(*schema.names).unionByName(ranked.mapInArrow(run, schema))
+    return full.select(*schema.names).unionByName(ranked.mapInArrow(lean(run), schema))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import held_out, lowest, materialize
+from lakequill.llm.common import held_out, lean, lowest, materialize
 from lakequill.llm.textscan import Chunk, chunks, separators
 
 SAMPLE_ROWS = 8_000
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, rest: int = 1, sample:
 
     key = docs.schema["doc_id"].dataType.simpleString()
     # of rows that repeat a doc_id one is enough
-    found = known.mapInArrow(bags, f"doc_id {key}, good int, bag binary").groupBy("doc_id").agg(F.max("good").alias("good"), F.min("bag").alias("bag"))
+    found = known.mapInArrow(lean(bags), f"doc_id {key}, good int, bag binary").groupBy("doc_id").agg(F.max("good").alias("good"), F.min("bag").alias("bag"))
     found = materialize(found.withColumn("each", F.expr(f"octet_length(bag) div {4 * WIDTH}")))
     # the window runs over the bounded sample's counts, without its passages
     before = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -226,7 +226,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "n_passages", "top_passage"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {key}, score double, n_passages bigint, top_passage bigint")
+    return rows.mapInArrow(lean(run), f"doc_id {key}, score double, n_passages bigint, top_passage bigint")
 
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakequill.llm.common import lowest, materialize
+from lakequill.llm.common import lean, lowest, materialize
 from lakequill.llm.textscan import BLANKS, Chunk, chunks, mix, ngrams, second_base, separators, span_hash
 
 SYMBOLS = separators("#*$%&|<>")
@@ -146,7 +146,7 @@ def rule_stats(docs: DataFrame) -> DataFrame:
             cols = [pa.array(stats[c].astype(np.int64)) for c in COUNTS] + [pa.array(stats[c].astype(np.float64)) for c in FEATURES]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], schema.names)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 # --- isolation forest
@@ -243,7 +243,7 @@ def score_stats(stats: DataFrame, forest: Forest) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forest.anomaly(_features(b, at)))], schema.names)
 
-    return stats.mapInArrow(run, schema)
+    return stats.mapInArrow(lean(run), schema)
 
 
 def base_failed(n_words="n_words", n_repeat="n_repeat_words"):
@@ -271,7 +271,7 @@ def _tally(known: DataFrame, forest: Forest) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(counts.ravel()[cell])], ["cell", "n"])
 
     out = np.zeros(2 * groups * BINS, np.int64)
-    for cell, n in known.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).toPandas().itertuples(index=False):
+    for cell, n in known.mapInArrow(lean(run), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).toPandas().itertuples(index=False):
         out[cell] = n
     return out.reshape(2, groups, BINS)
 
@@ -335,7 +335,7 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             failed = (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
             yield batch.filter(pa.array(~failed & (forest.anomaly(x) < 0)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def base_counts(docs: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import parts_for
+from lakequill.llm.common import parts_for, release_memory
 from lakequill.llm.textscan import U64, Chunk, Words, chunks, mix, ngrams, pack, pack_sorted, ranges, unpack, unpack_sorted
 
 WINDOW = 13
@@ -60,6 +60,7 @@ class _Bucket:
     """A bucket's documents in an order that depends on their content alone."""
 
     def __init__(self, table: pa.Table, window: int, seed: int):
+        release_memory()
         self.table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.window, self.seed = window, seed
         self.chunk: Chunk | None = next(chunks(self.table["text"], 1 << 62), None)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import materialize
+from lakequill.llm.common import lean, materialize
 
 #: Vectors in a block, of candidates and of queries; fewer where they are long.
 BLOCK = 4096
@@ -71,7 +71,7 @@ def quantized(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
             cols = [pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(norms, pa.float64()), pa.array(blobs, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["vec_id", "dim", "norm", "vec"])
 
-    return vectors.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(run, f"{_IDS}, dim int, norm double, vec binary")
+    return vectors.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(lean(run), f"{_IDS}, dim int, norm double, vec binary")
 
 
 def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
@@ -111,7 +111,7 @@ def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
         for dim in list(held):
             yield out(dim)
 
-    return rows.select("dim", key, "rid", "vec_id", "vec", "reach").mapInArrow(run, _BLOCK_SCHEMA)
+    return rows.select("dim", key, "rid", "vec_id", "vec", "reach").mapInArrow(lean(run), _BLOCK_SCHEMA)
 
 
 def _open(dim: int, rids: bytes, ids: bytes, vecs: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,7 +276,7 @@ def _rotations(blocks: DataFrame) -> dict[int, tuple[np.ndarray, int]]:
         for dim, g in total.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(g.size, dim, np.int32)), pa.array(np.arange(g.size)), pa.array(g.ravel())], ["dim", "at", "v"])
 
-    sums = blocks.where(f"dim > 0 and dim <= {ROTATED}").select("dim", "vecs").mapInArrow(grams, "dim int, at bigint, v double")
+    sums = blocks.where(f"dim > 0 and dim <= {ROTATED}").select("dim", "vecs").mapInArrow(lean(grams), "dim int, at bigint, v double")
     rows = sums.groupBy("dim", "at").agg(F.sum("v").alias("v")).toPandas()
     out: dict[int, tuple[np.ndarray, int]] = {0: (np.zeros((0, 0)), 0)}
     for dim, part in rows.groupby("dim"):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import held_out, lowest, materialize
+from lakequill.llm.common import held_out, lean, lowest, materialize
 from lakequill.llm.textscan import LOWER, U64, Chunk, chunks, mix, separators, span_hash
 
 SAMPLE_ROWS = 20_000
@@ -101,7 +101,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table["counts"])
         return pa.table({"slice": table["slice"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(run, "slice int, counts binary")
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(lean(run), "slice int, counts binary")
     got = {r["slice"]: bytes(r["counts"]) for r in parts.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()}
     if not got:
         return np.zeros(size, np.int64)
@@ -320,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, sample:
     if not n or t in (0, n):
         p = min(max(t / n if n else 0.0, 1e-9), 1 - 1e-9)
         return Model(trigrams, column, np.zeros(0), math.log(p / (1 - p)))
-    counts = known.mapInArrow(tally, "bucket bigint, clean bigint, toxic bigint").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = known.mapInArrow(lean(tally), "bucket bigint, clean bigint, toxic bigint").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     c, x = F.col("clean") + 0.5, F.col("toxic") + 0.5
     gain = F.abs(F.log(x / (t + 1)) - F.log(c / (n - t + 1))) * F.sqrt(F.col("toxic") + F.col("clean") * (t / n))
     best = counts.where("clean + toxic >= 6").orderBy(F.desc(gain), "bucket").limit(FEATURES).select("bucket").toPandas()["bucket"].to_numpy()
@@ -340,7 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, sample:
     key = docs.schema["doc_id"].dataType.simpleString()
     mark = labels.schema["toxic"].dataType.simpleString()
     # of rows that repeat a doc_id one is enough
-    table = known.mapInArrow(rows, f"doc_id {key}, toxic {mark}, cols array<int>").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("cols").alias("cols")).toPandas()
+    table = known.mapInArrow(lean(rows), f"doc_id {key}, toxic {mark}, cols array<int>").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("cols").alias("cols")).toPandas()
     if not len(table):
         return Model(trigrams, column, np.zeros(len(best)), math.log((t + 1) / (n - t + 1)))
     y = (table["toxic"].to_numpy() > 0).astype(np.float64)
@@ -364,7 +364,7 @@ def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = f"doc_id {key}, score double, n_restored bigint" + ", restored string" * keep_text
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:
