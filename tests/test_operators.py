@@ -100,3 +100,35 @@ def test_catalog_and_cursor(spark, sf):
     assert c.step() and c.column(1) == "NATION_0"
     with pytest.raises(LimitError):
         list(Cursor(spark.range(5), max_rows=3))
+
+
+def test_queue_order_with_ties_and_repeats(spark):
+    """Rows that tie leave once each; successors that come before pending rows leave first."""
+    import heapq
+
+    def kids(k, depth):
+        return [(k * 3 + i, depth + 1) for i in (1, 2, 2) if k * 3 + i < 40]
+
+    def brute(key):
+        heap, turn, out = [], 0, []
+        heapq.heappush(heap, (key((0, 0)), 0, (0, 0)))
+        while heap:
+            _, _, row = heapq.heappop(heap)
+            out.append(row)
+            for r in kids(*row):
+                turn += 1
+                heapq.heappush(heap, (key(r), turn, r))
+        return out
+
+    seed = spark.createDataFrame([(0, 0)], "k int, depth int")
+
+    def step(t):
+        k = F.explode(F.array(*[F.col("k") * 3 + i for i in (1, 2, 2)]))
+        return t.select(k.alias("k"), (F.col("depth") + 1).alias("depth")).where("k < 40")
+
+    for order, key in (([F.col("depth")], lambda r: r[1]), ([F.col("k")], lambda r: r[0])):
+        got = sorted((r._turn, r.k, r.depth) for r in queue(seed, step, -1, 0, order).collect())
+        want = brute(key)
+        assert [t for t, _, _ in got] == list(range(1, len(want) + 1))
+        assert sorted((k, d) for _, k, d in got) == sorted(want)
+        assert [key((k, d)) for _, k, d in got] == [key(r) for r in want]
