@@ -521,6 +521,8 @@ def _verified(found: DataFrame, pairs: DataFrame, like: Likeness, parts: int) ->
 
 #: Nodes that a task holds while it contracts edges.
 HELD_NODES = 1 << 20
+#: Edges that one task contracts to the end; they have at most half of the nodes that it may hold.
+LAST_EDGES = HELD_NODES // 4
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -556,9 +558,9 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b): the smallest node connected to it.
 
-    Large-star and small-star steps alternate until the edges no longer change; between them each
-    partition contracts its edges, so that few rounds remain. Hot nodes are joined with their
-    minimum, which splits under skew, rather than gathered.
+    Large-star and small-star steps alternate, and between them each partition contracts its edges,
+    until the edges no longer change or at most LAST_EDGES are left, which one task contracts. Hot
+    nodes are joined with their minimum, which splits under skew, rather than gathered.
     """
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -576,13 +578,15 @@ def components(edges: DataFrame) -> DataFrame:
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
     e = contracted(edges.where("a <> b"))
-    nodes = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
     old, now = None, mark(e)
-    while now[0] and now != old:
+    while now[0] > LAST_EDGES and now != old:
         e = contracted(star(materialize(star(e, True)), False))
         old, now = now, mark(e)
-    roots = e.groupBy("a").agg(F.min("b").alias("root"))
-    return nodes.join(roots, nodes["node"] == roots["a"], "left").select("node", F.coalesce("root", "node").alias("root"))
+    if now[0] and now != old:
+        e = contracted(e.coalesce(1))
+    # each node now has one edge, to its root; roots have none
+    roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionByName(roots)
 
 
 def described(docs: DataFrame, like: Likeness) -> DataFrame:

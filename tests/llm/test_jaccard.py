@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,27 @@ def test_chain_components_and_empty(spark):
         J.Likeness(3, 60, 100)
 
 
+def test_contraction_in_several_goes(monkeypatch):
+    monkeypatch.setattr(J, "HELD_NODES", 3)
+    goes = [pa.RecordBatch.from_pydict({"a": a, "b": b}) for a, b in (([5, 5, 9], [4, 3, 3]), ([9, 7], [1, 8]), ([], []))]
+    assert [list(zip(*b.to_pydict().values())) for b in J._contracted(iter(goes))] == [[(5, 3), (4, 3), (9, 3)], [(9, 1), (8, 7)], []]
+
+
+@pytest.mark.parametrize("last", [J.LAST_EDGES, 40, 0])
+def test_components_by_rounds_and_by_one_task(spark, monkeypatch, last):
+    monkeypatch.setattr(J, "LAST_EDGES", last)
+    rng = random.Random(7)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(180)] + [(i, i + 1) for i in range(500, 560)] + [(600, i) for i in range(601, 700)]
+    pairs += pairs[:20] + [(b, a) for a, b in pairs[20:40]] + [(450, 450)]
+    root = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in root:
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    e = spark.createDataFrame(pairs, "a long, b long").repartition(4, F.rand(2))
+    assert sorted(map(tuple, J.components(e).collect())) == sorted(root.items())
+
+
 def test_words_that_cancel_in_linear_hashes(spark):
     texts = []
     for bits in (10, 12):
