@@ -164,7 +164,7 @@ class Statement:
 
         def rows_of(text: str, *tables: str) -> DataFrame:
             head = [*loop.before, *tables]
-            return spark.sql((f"WITH {', '.join(head)} " if head else "") + text, args=args)
+            return spark.sql((f"WITH RECURSIVE {', '.join(head)} " if head else "") + text, args=args)
 
         seed = rows_of(loop.seed)
         seed = seed.toDF(*loop.columns) if loop.columns else seed

@@ -54,6 +54,19 @@ def test_statements(db, sql, want):
     assert run(db, sql) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("sql,want", [
+    ("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 130) SELECT count(*), sum(n), max(n) FROM t", [(130, 8515, 130)]),
+    ("SELECT c FROM (WITH RECURSIVE x AS (SELECT 1 AS y), t AS (SELECT y AS n FROM x UNION ALL SELECT n + 1 FROM t WHERE n < 130) SELECT count(*) AS c FROM t)", [(130,)]),
+    ("WITH RECURSIVE b(m) AS (SELECT 1 UNION SELECT (m + 1) % 3 FROM b), t(n) AS (SELECT m FROM b UNION ALL SELECT n + 10 FROM t WHERE n < 1200) SELECT count(*), max(n) FROM t", [(363, 1202)]),
+    ("WITH RECURSIVE a(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM a WHERE n < 120), b(m) AS (SELECT max(n) FROM a UNION SELECT m - 50 FROM b WHERE m > 0) SELECT count(*), min(m) FROM b", [(4, -30)]),
+])
+def test_deep_recursion_in_any_session(spark, sql, want):
+    """The depth is the statement's own: a session with Spark's default limit gives all rows."""
+    plain = spark.newSession()
+    plain.conf.set("spark.sql.cteRecursionLevelLimit", "100")
+    assert run(Connection(plain, "/root/testdata/sf0.001"), sql) == want
+
+
 def test_parameters_and_lifecycle(db):
     s, rest = db.prepare("SELECT n_name FROM nation WHERE n_nationkey = ?1 OR n_name = :who; SELECT 2")
     assert s.parameters == ["p1", "who"] and rest.strip() == "SELECT 2"
