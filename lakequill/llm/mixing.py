@@ -22,19 +22,16 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lakequill.llm.common import lean, materialize, small_or_shuffled
-from lakequill.llm.textscan import chunks, mix
+from lakequill.llm.common import materialize, small_or_shuffled
+from lakequill.llm.textscan import mix
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -43,18 +40,18 @@ BLOCK_ROWS = 1024
 FAN_IN = 64
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size, the number of words of the whole text."""
-    key, source = (docs.schema[c].dataType for c in ("doc_id", "source"))
-    schema = T.StructType([T.StructField("doc_id", key), T.StructField("source", source), T.StructField("size", T.LongType())])
+def n_words(text: Column) -> Column:
+    """Maximal runs of characters other than space and \\x09-\\x0D; null has none.
+
+    An expression, so that whole rows need not go through Python and back for it.
+    """
+    runs = F.regexp_replace(text, r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "x")
+    return F.coalesce(F.length(F.ltrim(runs, F.lit(" \t\n\x0b\x0c\r"))), F.lit(0)).cast("bigint")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [c.words().counts() for c in chunks(b.column(2))]
-            n = np.concatenate(n) if n else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n.astype(np.int64))], schema.names)
 
-    return docs.select("doc_id", "source", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
+def sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source and size, the number of words of the whole text."""
+    return docs.select("doc_id", "source", n_words(F.col("text").cast("string")).alias("size"))
 
 
 def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -233,13 +230,5 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
 def _with_size(docs: DataFrame) -> DataFrame:
     """row (all columns of `docs`), doc_id, source and size, the number of words."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    schema = T.StructType([rows.schema["row"], T.StructField("size", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [c.words().counts() for c in chunks(pc.struct_field(b.column(0), "text"))]
-            n = np.concatenate(n) if n else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64))], schema.names)
-
-    return rows.mapInArrow(lean(run), schema).select("row", "row.doc_id", "row.source", "size")
+    row = F.struct(*[docs[c] for c in docs.columns])
+    return docs.select(row.alias("row"), "doc_id", "source", n_words(F.col("text").cast("string")).alias("size"))

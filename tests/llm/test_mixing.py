@@ -87,3 +87,11 @@ def test_clashing_columns_and_both_joins(spark, monkeypatch):
     monkeypatch.setattr(M, "small_or_shuffled", lambda df: df)
     assert sorted(map(str, M.mixed_documents(d).collect())) == one
     assert sum(r.size for r in M.op4(docs(spark, ["a" * 1_000_000, " " * 1_000_000, "b " * 500_000])).collect()) == 500_001
+
+
+def test_rows_with_texts_stay_out_of_python(spark):
+    texts = [*awkward_texts(), "\x0b a", "\x00\x1f\x85\xa0  \U0001f600\tb\x1c", "\r\n", "x" + " \t" * 3000 + "y"]
+    out = M.mixed_documents(docs(spark, texts))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "InPandas" not in plan
+    assert {r.doc_id: r.size for r in M.sizes(docs(spark, texts)).collect()} == {i: len(WORD.findall(t or "")) for i, t in enumerate(texts)}
