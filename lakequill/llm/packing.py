@@ -35,11 +35,9 @@ CAPACITY = 1024
 END_ID = 2
 #: About so many pieces share a block when ranks are dealt: thousands of each length.
 BLOCK_PIECES = 1 << 20
-#: How many parts of texts a worker remembers the ids of (twice: those of late and those before), their longest, and
-#: how many new ones it asks for at once.
+#: How many parts of texts a worker remembers the ids of (twice: those of late and those before), and their longest.
 MEMORY = 400_000
 LONGEST = 48
-ASKED = 2000
 #: Documents whose ids a worker holds at once.
 ROWS = 128
 #: Below this character, letters, numbers and blanks are the same in all versions of Unicode (a test holds them to it).
@@ -76,36 +74,32 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         before = self.tokenizer.pre_tokenizer
-        self.parted = self.tokenizer.normalizer is None and isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space
+        plain = isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.parted = self.tokenizer.normalizer is None and plain and all(t.special for t in added)
         self.cut = re.compile(_part_pattern()).findall
+        self.beyond = re.compile(rf"[^\x00-{chr(_KNOWN - 1)}]").search
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.line = self._ids(["\n"])[0]
+        # the characters by which the vocabulary writes bytes, and the bytes of ids
+        signs = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = {c: signs.pre_tokenize_str(chr(c))[0][0] for c in range(_KNOWN)}
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, parts: list[str]) -> None:
-        """Remember the ids of parts. Those that are not blank stand on lines of one text: a line break is a part of its own."""
-        blank = [p for p in parts if p.isspace()]
-        self.known.update(zip(blank, (x.tobytes() for x in self._ids(blank))))
-        parts = list(set(parts).difference(blank))
-        for at in range(0, len(parts), ASKED):
-            some = parts[at : at + ASKED]
-            ids = self._ids(["\n".join(some)])[0]
-            ends = (4 * np.flatnonzero(ids == self.line[0])).tolist()
-            data = ids.tobytes()
-            if len(self.line) == 1 and len(ends) == len(some) - 1:
-                each = [data[a:z] for a, z in zip([0, *[e + 4 for e in ends]], [*ends, len(data)])]
-            else:
-                each = [x.tobytes() for x in self._ids(some)]
-            self.known.update(zip(some, each))
+        """Remember the ids of parts, which are asked of the tokenizer's model: the way to it would only cut them again."""
+        model, signs, four, known = self.tokenizer.model.tokenize, self.signs, self.four, self.known
+        for p in parts:
+            known[p] = b"".join([four[t.id] for t in model(p.translate(signs))])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         cut, whole = [], []
         for i, text in enumerate(texts):
-            if self.parted and (text.isascii() or ord(max(text)) < _KNOWN):
+            if self.parted and (text.isascii() or not self.beyond(text)):
                 cut.append((i, self.cut(text)))
             else:
                 whole.append(i)
@@ -113,14 +107,18 @@ class Encoder:
             out[i] = ids.tobytes()
         if len(self.known) > MEMORY:
             self.before, self.known = self.known, {}
-        fresh = list(set().union(*(parts for _, parts in cut)).difference(self.known))
-        before = self.before
-        self.known.update({p: before[p] for p in fresh if p in before})
-        self._learn([p for p in fresh if p not in before])
+        known, before, long = self.known, self.before, []
         for i, parts in cut:
-            out[i] = b"".join(map(self.known.__getitem__, parts))
-        for part in [p for p in fresh if len(p) > LONGEST]:
-            del self.known[part]
+            ids = list(map(known.get, parts))
+            if None in ids:
+                fresh = {p for p, x in zip(parts, ids) if x is None}
+                known.update({p: before[p] for p in fresh if p in before})
+                self._learn([p for p in fresh if p not in before])
+                long += [p for p in fresh if len(p) > LONGEST]
+                ids = map(known.__getitem__, parts)
+            out[i] = b"".join(ids)
+        for part in set(long):
+            del known[part]
         return out
 
 

@@ -21,6 +21,15 @@ def test_parts_give_the_ids_of_whole_texts():
     assert e.known and e(texts[::-1]) == [x.tobytes() for x in e._ids(texts[::-1])]
 
 
+def test_new_parts_ask_only_the_model():
+    e = P.Encoder(P.default_vocabulary())
+    texts = [f"Word{i}'s thé\n\n  {i}, ({i})  \t" + "long" * 20 for i in range(300)]
+    want, asked, ids = [x.tobytes() for x in e._ids(texts)], [], e._ids
+    e._ids = lambda t: asked.extend(t) or ids(t)
+    assert e(texts) == want and not asked
+    assert e.known and max(map(len, e.known)) <= P.LONGEST
+
+
 def test_very_long_runs(spark):
     texts = [" " * 1_000_000, "a" * 300_000, "\n" * 200_000 + "x", "!" * 300_000, "7" * 300_000]
     tk = Tokenizer.from_file(P.default_vocabulary())
