@@ -35,7 +35,7 @@ CAPACITY = 1024
 END_ID = 2
 #: About so many pieces share a block when ranks are dealt: thousands of each length.
 BLOCK_PIECES = 1 << 20
-#: How many parts of texts a worker remembers the ids of (twice: those of late and those before), and their longest.
+#: How many parts of a partition's texts a worker remembers the ids of (twice: those of late and those before), and their longest.
 MEMORY = 400_000
 LONGEST = 48
 #: Documents whose ids a worker holds at once.
@@ -121,6 +121,10 @@ class Encoder:
             del known[part]
         return out
 
+    def forget(self) -> None:
+        """Let go of all parts. Idle workers take turns, so what one keeps is soon held by all that wait beside an executor."""
+        self.known, self.before = {}, {}
+
 
 def encoder(vocabulary: str) -> Encoder:
     if vocabulary not in _LOADED:
@@ -141,11 +145,14 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         release_memory()
         encode = encoder(vocabulary)
-        for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                part = b.slice(at, ROWS)
-                ids = encode([t or "" for t in part.column(1).to_pylist()])
-                yield _pieces(part.column(0), ids, capacity, end_id, schema.names)
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, ROWS):
+                    part = b.slice(at, ROWS)
+                    ids = encode([t or "" for t in part.column(1).to_pylist()])
+                    yield _pieces(part.column(0), ids, capacity, end_id, schema.names)
+        finally:
+            encode.forget()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
 

@@ -3,6 +3,7 @@ import zlib
 from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from lakequill.llm import packing as P
@@ -30,6 +31,21 @@ def test_new_parts_ask_only_the_model():
     assert e.known and max(map(len, e.known)) <= P.LONGEST
 
 
+def test_workers_keep_no_parts_when_a_partition_ends(spark):
+    rows = spark.range(400).selectExpr("id as doc_id", "concat('some words ', id, ' of text') as text").repartition(8)
+    assert P.token_pieces(rows).count() == 400
+
+    def held(batches):
+        for _ in batches:
+            pass
+        n = [len(e.known) + len(e.before) for e in P._LOADED.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([len(n)], pa.int64()), pa.array([sum(n)], pa.int64())], ["encoders", "parts"])
+
+    # idle workers take turns: so many tasks meet all of them
+    got = spark.range(0, 256, 1, 64).mapInArrow(held, "encoders bigint, parts bigint").groupBy().sum().first()
+    assert got[0] and not got[1]
+
+
 def test_very_long_runs(spark):
     texts = [" " * 1_000_000, "a" * 300_000, "\n" * 200_000 + "x", "!" * 300_000, "7" * 300_000]
     tk = Tokenizer.from_file(P.default_vocabulary())
