@@ -67,6 +67,22 @@ def test_deep_recursion_in_any_session(spark, sql, want):
     assert run(Connection(plain, "/root/testdata/sf0.001"), sql) == want
 
 
+@pytest.mark.parametrize("sql,want", [
+    ("SELECT r_regionkey, (SELECT n_nationkey FROM nation WHERE n_regionkey = r_regionkey ORDER BY n_nationkey % 7 DESC, n_name) FROM region", [(0, 20), (1, 6), (2, 12), (3, 13), (4, 19)]),
+    ("SELECT r_regionkey, (SELECT n_nationkey AS k FROM nation WHERE n_regionkey = r_regionkey ORDER BY n_nationkey DESC LIMIT 1 OFFSET 1) FROM region", [(0, 15), (1, 16), (2, 17), (3, 18), (4, 19)]),
+    ("SELECT r_regionkey, (SELECT n_nationkey + 1 FROM nation AS n WHERE n_regionkey = r_regionkey ORDER BY (n.n_nationkey - 9 - r_regionkey) * (n.n_nationkey - 9 - r_regionkey), 1 DESC LIMIT 1) FROM region", [(0, 11), (1, 12), (2, 13), (3, 14), (4, 15)]),
+    ("SELECT r_regionkey, (SELECT n_nationkey % 2 FROM nation WHERE n_regionkey = r_regionkey GROUP BY n_nationkey % 2 ORDER BY count(*), 1) FROM region", [(0, 1), (1, 0), (2, 1), (3, 0), (4, 1)]),
+    ("SELECT r_regionkey FROM region WHERE 5 + r_regionkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = r_regionkey ORDER BY n_name DESC LIMIT 1 + 1) AND r_regionkey > 2", [(3,), (4,)]),
+    ("SELECT r_regionkey, (SELECT sum(k) FROM (SELECT n_nationkey AS k FROM nation WHERE n_regionkey = r_regionkey ORDER BY -n_nationkey LIMIT 2)) FROM region", [(0, 35), (1, 37), (2, 39), (3, 41), (4, 43)]),
+])
+def test_order_of_correlated_rows(db, sql, want):
+    """Each outer row's own rows are numbered by the order; a sort below an exchange is no order on several machines."""
+    plan = db.query(sql)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [row_number()" in line]
+    assert windows and all("ASC NULLS" in line or "DESC NULLS" in line for line in windows)
+    assert run(db, sql) == sorted(want, key=repr)
+
+
 def test_parameters_and_lifecycle(db):
     s, rest = db.prepare("SELECT n_name FROM nation WHERE n_nationkey = ?1 OR n_name = :who; SELECT 2")
     assert s.parameters == ["p1", "who"] and rest.strip() == "SELECT 2"
