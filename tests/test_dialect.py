@@ -1,5 +1,6 @@
 import datetime
 
+import duckdb
 import pytest
 
 from lakequill.plans.connection import Connection, EngineError
@@ -83,6 +84,42 @@ def test_order_of_correlated_rows(db, sql, want):
     assert run(db, sql) == sorted(want, key=repr)
 
 
+_TIED = "PARTITION BY c_nationkey % 3 ORDER BY nullif(c_custkey % 7, 3) NULLS FIRST"
+_STRICT = "PARTITION BY c_nationkey % 3 ORDER BY c_custkey % 7, c_custkey"
+_KEPT = [
+    f"{_TIED} GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING", f"{_TIED} GROUPS BETWEEN 3 PRECEDING AND 1 PRECEDING", f"{_TIED} GROUPS BETWEEN 2 FOLLOWING AND UNBOUNDED FOLLOWING", f"{_TIED} GROUPS CURRENT ROW",
+    f"{_TIED} GROUPS BETWEEN 1 PRECEDING AND UNBOUNDED FOLLOWING", f"{_TIED} RANGE UNBOUNDED PRECEDING", f"{_TIED} RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING", "RANGE BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING",
+    f"{_STRICT} ROWS UNBOUNDED PRECEDING", f"{_TIED} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING", f"{_STRICT} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING",
+]
+_GATHERED = [f"{_TIED} RANGE BETWEEN 2 PRECEDING AND 1 FOLLOWING", f"{_STRICT} ROWS BETWEEN 2 PRECEDING AND 3 FOLLOWING"]
+
+
+@pytest.mark.parametrize("what", ["CURRENT ROW", "GROUP", "TIES"])
+@pytest.mark.parametrize("frames,merged", [(_KEPT[:4], True), (_KEPT[4:8], True), (_KEPT[8:], True), (_GATHERED, False)])
+def test_exclusions(db, what, frames, merged):
+    """Sums, counts and extremes over what a frame keeps are DuckDB's, and no frame is gathered that windows can say."""
+    x = "nullif(c_custkey % 10, 4)"
+    calls = [f"sum({x})", f"count({x}) FILTER (WHERE c_acctbal > 0)", "count(*)", f"min({x})", "max(c_acctbal)", "avg(c_acctbal)", "sum(c_acctbal) FILTER (WHERE c_custkey % 4 = 1)"]
+    sql = "SELECT c_custkey, " + ", ".join(f"{c} OVER ({f} EXCLUDE {what}) AS a{i}_{j}" for i, f in enumerate(frames) for j, c in enumerate(calls)) + " FROM customer"
+    df = db.query(sql)
+    if merged:
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+    want = duckdb.sql(sql.replace("FROM customer", "FROM '/root/testdata/sf0.001/customer.parquet'")).fetchall()
+    got = df.collect()
+    assert len(got) == len(want)
+    for a, b in zip(sorted(map(tuple, got), key=lambda r: r[0]), sorted(want, key=lambda r: r[0])):
+        assert a == tuple(pytest.approx(v, rel=1e-12) if isinstance(v, float) else v for v in b)
+
+
+def test_exclusions_of_a_large_group(db):
+    """20,000 rows in one frame: what is kept is not gathered for each row."""
+    rows = "(SELECT o_orderkey * 25 + n_nationkey AS n FROM orders, nation WHERE o_orderkey < 800)"
+    frame = "ORDER BY n < 10000 RANGE BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE"
+    sql = f"SELECT count(*), sum(s), sum(c), max(m) FROM (SELECT sum(n) OVER ({frame} CURRENT ROW) AS s, count(*) OVER ({frame} GROUP) AS c, max(n) OVER ({frame} TIES) AS m FROM {rows})"
+    statement, _ = db.prepare(sql)
+    assert statement.rows(timeout=120) == [(20000, 199990000 * 19999, 20000 * 10000, 19999)]
+
+
 def test_parameters_and_lifecycle(db):
     s, rest = db.prepare("SELECT n_name FROM nation WHERE n_nationkey = ?1 OR n_name = :who; SELECT 2")
     assert s.parameters == ["p1", "who"] and rest.strip() == "SELECT 2"
